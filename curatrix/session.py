@@ -22,6 +22,7 @@ def local_session(cpus: int | None = None, memory: str = "8g", partitions: int |
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("curatrix")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions or cpus))
     )
