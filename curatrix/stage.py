@@ -29,19 +29,19 @@ class Stages:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.paths: dict[int, str] = {}
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
 
     def write(self, df: DataFrame, tag: str = "stage") -> DataFrame:
         path = new_path(self.spark, tag)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths[id(out)] = (out, path)
         return out
 
     def drop(self, *dfs: DataFrame | None) -> None:
         for df in dfs:
-            if df is not None and (path := self.paths.pop(id(df), None)):
-                delete(self.spark, path)
+            if df is not None and (found := self.paths.pop(id(df), None)):
+                delete(self.spark, found[1])
 
 
 def delete(spark: SparkSession, path: str) -> None:
