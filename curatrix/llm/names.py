@@ -1,0 +1,22 @@
+"""How this project's tables write files, splits, fingerprints and kinds."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def bare_name(path: Column) -> Column:
+    """The part after the last slash of either kind, without blanks around it; null if nothing is left."""
+    return F.nullif(F.regexp_replace(F.regexp_replace(path, r"(?s)^.*[/\\]", ""), r"^\s+|\s+$", ""), F.lit(""))
+
+
+def split_name(split: Column) -> Column:
+    s = F.lower(F.trim(split))
+    s = F.when(s == "valid", "val").otherwise(s)
+    return F.when(s.isin("train", "val", "test"), s)
+
+
+def sha_digits(sha: Column) -> Column:
+    """The 64 hexadecimal digits in lower case, however they are written; null if there aren't 64."""
+    return F.nullif(F.regexp_extract(F.lower(sha), r"^(?:\s*sha-?256\s*[:=]?)?\s*([0-9a-f]{64})\s*$", 1), F.lit(""))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
-from ..stage import table
-from . import spans
+from ..stage import Stages, table
+from . import cosine, graph, mixing, names, packing, spans, splits, subset, tokens, topn
 
 registry = Registry()
 queries = registry.queries
@@ -47,3 +47,210 @@ def p10_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count("shared_chars").alias("docs_sharing"),
         )
     )
+
+
+_SCORED = "SELECT DISTINCT image_id, class_id, prediction_id, confidence FROM canonical_predictions WHERE image_id IS NOT NULL AND class_id IS NOT NULL AND confidence BETWEEN 0 AND 1"
+
+
+@registry.query(f"""
+SELECT image_id, class_id, CAST(r AS INTEGER) AS rank_no, prediction_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY image_id, class_id ORDER BY confidence DESC, prediction_id) AS r FROM ({_SCORED})
+) WHERE r <= 3""")
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = table(spark, sf_dir, "canonical_predictions").where("confidence BETWEEN 0 AND 1")
+    return topn.top_n(scored, ["image_id", "class_id"], "confidence", "prediction_id", 3).drop("confidence")
+
+
+@registry.query(f"""
+SELECT class_id, CAST(r AS INTEGER) AS rank_no, prediction_id, confidence FROM (
+  SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY confidence DESC, prediction_id) AS r
+  FROM (SELECT DISTINCT class_id, prediction_id, confidence FROM ({_SCORED}))
+) WHERE r <= 100""")
+def p7_top_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few giant groups instead of many small ones."""
+    scored = table(spark, sf_dir, "canonical_predictions").where("confidence BETWEEN 0 AND 1 AND image_id IS NOT NULL")
+    return topn.top_n(scored, ["class_id"], "confidence", "prediction_id", 100)
+
+
+_NAME = "nullif(trim(regexp_replace({}, '^.*[/\\\\]', '')), '')"
+_PAIRS_SQL = f"""
+WITH RECURSIVE p AS (SELECT DISTINCT {_NAME.format("file_a")} AS a, {_NAME.format("file_b")} AS b FROM duplicate_review WHERE lower(trim(likely_same_source)) = 'yes'),
+e AS (SELECT a, b FROM p WHERE a <> b UNION SELECT b, a FROM p WHERE a <> b),
+r AS (SELECT a AS n, a AS m FROM e UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.n),
+g AS (SELECT n AS file_name, min(m) AS group_file FROM r GROUP BY n)
+"""
+
+
+def review_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    review = table(spark, sf_dir, "duplicate_review").where("lower(trim(likely_same_source)) = 'yes'")
+    return review.select(names.bare_name(F.col("file_a")).alias("a"), names.bare_name(F.col("file_b")).alias("b"))
+
+
+@registry.query(_PAIRS_SQL + "SELECT file_name, group_file FROM g")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.components(review_pairs(spark, sf_dir)).select(F.col("node").alias("file_name"), F.col("root").alias("group_file"))
+
+
+@registry.query(_PAIRS_SQL + "SELECT files, count(*) AS groups FROM (SELECT group_file, count(*) AS files FROM g GROUP BY 1) GROUP BY 1")
+def p5_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = graph.components(review_pairs(spark, sf_dir)).groupBy("root").agg(F.count("*").alias("files"))
+    return sizes.groupBy("files").agg(F.count("*").alias("groups"))
+
+
+_GROUPS_SQL = f"""
+WITH RECURSIVE l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY confirmed_at DESC, files DESC) AS r FROM confirmed_duplicate_groups WHERE group_id IS NOT NULL) WHERE r = 1),
+x AS (SELECT group_id, unnest(string_split(files, ';')) AS f FROM l),
+gf AS (SELECT DISTINCT group_id, {_NAME.format("f")} AS f FROM x WHERE {_NAME.format("f")} IS NOT NULL),
+h AS (SELECT group_id, f, min(f) OVER (PARTITION BY group_id) AS m FROM gf),
+e AS (SELECT f AS a, m AS b FROM h UNION SELECT m, f FROM h),
+r AS (SELECT a AS n, a AS m FROM e UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.n),
+c AS (SELECT n AS f, min(m) AS root FROM r GROUP BY n),
+s AS (SELECT DISTINCT {_NAME.format("file_name")} AS f, CASE lower(trim(split)) WHEN 'valid' THEN 'val' ELSE lower(trim(split)) END AS split FROM source_images),
+t AS (SELECT root FROM c JOIN s USING (f) WHERE split IN ('train', 'val', 'test') GROUP BY root HAVING count(DISTINCT split) > 1)
+"""
+
+
+def confirmed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(group_id, file): the entries of the last row of each group, each once."""
+    groups = table(spark, sf_dir, "confirmed_duplicate_groups").where("group_id IS NOT NULL").groupBy("group_id").agg(F.max(F.struct("confirmed_at", "files")).alias("last"))
+    return groups.select("group_id", F.explode(F.split("last.files", ";")).alias("entry")).select("group_id", names.bare_name(F.col("entry")).alias("file")).dropna().distinct()
+
+
+def image_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "source_images").select("image_id", names.bare_name(F.col("file_name")).alias("file"), names.split_name(F.col("split")).alias("split")).distinct()
+
+
+@registry.query(_GROUPS_SQL + "SELECT DISTINCT group_id FROM gf JOIN c USING (f) WHERE root IN (SELECT root FROM t)")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = confirmed_files(spark, sf_dir)
+    roots = Stages(spark).write(splits.related(files, "file", "group_id"), "roots")
+    torn = splits.torn(roots, image_splits(spark, sf_dir), "file", "split")
+    return files.join(roots.join(torn, "root", "left_semi"), files["file"] == roots["node"], "left_semi").select("group_id").distinct()
+
+
+@registry.query()
+def p2_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The new split of every image: 76 % train, 14 % val, 10 % test."""
+    images = image_splits(spark, sf_dir).select("image_id", "file").distinct()
+    new = splits.assign_splits(images, "file", confirmed_files(spark, sf_dir), "file", "group_id", {"train": 0.76, "val": 0.14, "test": 0.10})
+    return images.join(new, "file").select("image_id", "split")
+
+
+CAPACITY = 4096
+
+
+def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = tokens.counted_with(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+    return packing.fill_containers(sizes, "doc_id", "tokens", CAPACITY)
+
+
+@registry.query()
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that the packing had to divide."""
+    return packed_documents(spark, sf_dir).where("piece > 0").select("doc_id").distinct()
+
+
+@registry.query()
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(spark, sf_dir)
+
+
+@registry.query()
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used, the least possible number, and the share of room left over."""
+    every = packed_documents(spark, sf_dir).agg(F.count_distinct("container").alias("containers"), F.sum("size").alias("tokens"))
+    least = F.ceil(F.col("tokens") / CAPACITY)
+    return every.select("containers", "tokens", least.alias("least_possible"), (1 - F.col("tokens") / (F.col("containers") * CAPACITY)).alias("room_left"))
+
+
+def mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+@registry.query()
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(spark, sf_dir).report().where("NOT reachable").select("source")
+
+
+@registry.query()
+def p9_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(spark, sf_dir).uses()
+
+
+@registry.query()
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(spark, sf_dir).reached()
+
+
+_IMAGES_SQL = """
+WITH i AS (SELECT DISTINCT image_id, CASE WHEN lower(trim(split)) = 'valid' THEN 'val' WHEN lower(trim(split)) IN ('train', 'val', 'test') THEN lower(trim(split)) END AS split,
+  nullif(regexp_extract(lower(sha256), '^(?:\\s*sha-?256\\s*[:=]?)?\\s*([0-9a-f]{64})\\s*$', 1), '') AS sha, dhash, dataset_source FROM source_images WHERE image_id IS NOT NULL),
+p AS (SELECT e.image_id AS e_id, t.image_id AS t_id, e.split, e.dataset_source, coalesce(e.sha = t.sha, false) AS exact FROM i e JOIN i t
+  ON e.split IN ('val', 'test') AND t.split = 'train' AND (e.sha = t.sha OR bit_count(xor(e.dhash, t.dhash)) <= 4))
+"""
+
+
+def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = table(spark, sf_dir, "source_images").select("image_id", names.split_name(F.col("split")).alias("split"), names.sha_digits(F.col("sha256")).alias("sha"), "dhash")
+    return cosine.split_overlaps(images, "image_id", "split", "sha", "dhash")
+
+
+@registry.query(_IMAGES_SQL + "SELECT DISTINCT least(e_id, t_id) AS image_id_a, greatest(e_id, t_id) AS image_id_b FROM p")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(spark, sf_dir).select(F.least("held_out", "training").alias("image_id_a"), F.greatest("held_out", "training").alias("image_id_b"))
+
+
+@registry.query(
+    _IMAGES_SQL
+    + """, b AS (SELECT e_id, split, dataset_source, bool_or(exact) AS exact FROM p GROUP BY ALL)
+SELECT i.split, coalesce(i.dataset_source, '') AS dataset_source, count(DISTINCT i.image_id) AS images, count(DISTINCT b.e_id) AS overlapping, count(DISTINCT CASE WHEN b.exact THEN b.e_id END) AS exactly
+FROM i LEFT JOIN b ON i.image_id = b.e_id WHERE i.split IN ('val', 'test') GROUP BY 1, 2"""
+)
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = table(spark, sf_dir, "source_images").select("image_id", names.split_name(F.col("split")).alias("split"), F.coalesce("dataset_source", F.lit("")).alias("dataset_source")).distinct()
+    hit = overlaps(spark, sf_dir).groupBy(F.col("held_out").alias("image_id")).agg(F.min("how").alias("how"))
+    return (
+        images.where("split IN ('val', 'test') AND image_id IS NOT NULL")
+        .join(hit, "image_id", "left")
+        .groupBy("split", "dataset_source")
+        .agg(F.count("*").alias("images"), F.count("how").alias("overlapping"), F.count_if(F.coalesce(F.col("how") == "exact", F.lit(False))).alias("exactly"))
+    )
+
+
+def image_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, split, kind, features): the kind within the split weighs 1; each category 0.05, so little that a kind not yet there always comes first.
+
+    With ten names there are at most 10 such weights: a present kind gains at most 0.42 + 10 * 0.05 from one more image, an absent one at least 1.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    known = F.broadcast(table(spark, sf_dir, "category_names").select("name", plain(F.col("name")).alias("plain")))  # a fixed list
+    images = table(spark, sf_dir, "source_images").select("image_id", names.split_name(F.col("split")).alias("split"), "original_categories").where("split IS NOT NULL").distinct()
+    each = images.select("image_id", "split", F.explode(F.split("original_categories", "[;,]")).alias("word"))
+    each = each.select("image_id", "split", plain(F.col("word")).alias("plain")).join(known, "plain")
+    kinds = each.groupBy("image_id", "split").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    feature = lambda what, mass: F.struct(F.concat(F.col("split"), F.lit("|"), what).alias("feature"), F.lit(mass).alias("mass"))
+    kind = F.array_join("names", " + ")
+    return kinds.select("image_id", "split", kind.alias("kind"), F.concat(F.array(feature(F.concat(F.lit("="), kind), 1.0)), F.transform("names", lambda n: feature(n, 0.0025))).alias("features"))
+
+
+SUBSET_SIZE = 4096  # above 3 splits * (2 ** 10 - 1) kinds, so that every kind finds room
+
+
+def chosen_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = Stages(spark).write(image_features(spark, sf_dir), "features")
+    return subset.varied_subset(features, "image_id", "features", SUBSET_SIZE).join(features, "image_id")
+
+
+@registry.query("""
+WITH n AS (SELECT name, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS plain FROM category_names),
+i AS (SELECT DISTINCT image_id, CASE lower(trim(split)) WHEN 'valid' THEN 'val' ELSE lower(trim(split)) END AS split, original_categories AS o FROM source_images),
+x AS (SELECT image_id, split, unnest(string_split_regex(o, '[;,]')) AS c FROM i WHERE split IN ('train', 'val', 'test')),
+k AS (SELECT image_id, split, string_agg(DISTINCT name, ' + ' ORDER BY name) AS kind FROM x JOIN n ON n.plain = trim(regexp_replace(lower(c), '[^a-z0-9]+', ' ', 'g')) GROUP BY ALL)
+SELECT DISTINCT split, kind FROM k""")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_images(spark, sf_dir).select("split", "kind").distinct()
+
+
+@registry.query()
+def p1_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_images(spark, sf_dir).select("image_id")
