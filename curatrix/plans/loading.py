@@ -1,5 +1,59 @@
-"""Queries to come."""
+"""Loading: lines that parse or don't, and small files brought together."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import compaction, rejects
+from ..stage import table
 from .registry import Registry
 
 registry = Registry()
+
+_LINES_SQL = rf"""
+WITH l AS (SELECT DISTINCT line_id, line, list_filter(string_split_regex(line, '[ \t\r]+'), lambda x: x <> '') AS f FROM label_lines),
+k AS (SELECT *, len(list_filter(f, lambda x: contains(x, '"') AND NOT regexp_full_match(x, '"[^"]*"'))) > 0 AS misquoted, list_transform(f, lambda x: CASE WHEN regexp_full_match(x, '"[^"]*"') THEN x[2:-2] ELSE x END) AS v FROM l WHERE len(f) > 0),
+n AS (SELECT *, len(v) = 5 AS five, len(v) = 5 AND regexp_full_match(v[1], '{rejects.WHOLE}') AND len(list_filter(v[2:5], lambda x: NOT regexp_full_match(x, '{rejects.REAL}'))) = 0 AS numeric FROM k),
+d AS (SELECT *, CASE WHEN numeric THEN try_cast(v[1] AS HUGEINT) END AS c, CASE WHEN numeric THEN list_transform(v[2:5], lambda x: try_cast(x AS DOUBLE)) END AS p FROM n),
+r AS (SELECT *, CASE WHEN misquoted THEN 'QUOTING' WHEN NOT five THEN 'COLUMNS' WHEN NOT numeric THEN 'NUMERIC' WHEN NOT coalesce(c BETWEEN 0 AND 3, false) THEN 'CLASS_RANGE'
+  WHEN len(list_filter(p, lambda x: coalesce(x BETWEEN 0 AND 1, false))) < 4 THEN 'COORD_RANGE' WHEN p[3] = 0 OR p[4] = 0 THEN 'SIZE' END AS reason FROM d)
+"""
+
+
+def parsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rejects.parse_lines(table(spark, sf_dir, "label_lines"), "line_id", "line")
+
+
+@registry.query(_LINES_SQL + "SELECT line_id, reason FROM r WHERE reason IS NOT NULL")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rejects.failed(parsed_lines(spark, sf_dir)).select("line_id", "reason")
+
+
+@registry.query(_LINES_SQL + "SELECT line_id, CAST(c AS INTEGER) AS class_id, p[1] AS x_center, p[2] AS y_center, p[3] AS width, p[4] AS height FROM r WHERE reason IS NULL")
+def p3_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rejects.valid(parsed_lines(spark, sf_dir)).select("line_id", *rejects.FIELDS)
+
+
+@registry.query(_LINES_SQL + "SELECT coalesce(reason, 'VALID') AS outcome, count(*) AS lines FROM r GROUP BY 1")
+def p3_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsed_lines(spark, sf_dir).groupBy(F.coalesce("reason", F.lit("VALID")).alias("outcome")).agg(F.count("*").alias("lines"))
+
+
+_FILES_SQL = r"""
+WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY written_at DESC, content DESC) AS r FROM label_files) WHERE r = 1),
+x AS (SELECT file_id, path, list_filter(string_split_regex(content, '\r\n?|\n'), lambda s: regexp_matches(s, '[^ \t]')) AS records FROM l),
+p AS (SELECT file_id, path, unnest(range(1, len(records) + 1)) AS i, records FROM x)
+"""
+
+
+@registry.query(_FILES_SQL + r"SELECT file_id, CAST(i AS INTEGER) AS line_no, TRY_CAST(regexp_extract(records[i], '^[ \t]*([^ \t]+)', 1) AS INTEGER) AS class_id FROM p")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction.compact(table(spark, sf_dir, "label_files")).records.select("file_id", "line_no", "class_id")
+
+
+@registry.query()
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size of each group when files of 256 KiB are wanted."""
+    done = compaction.compact(table(spark, sf_dir, "label_files"), target=256 << 10)
+    return done.plan.groupBy("group_no").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
