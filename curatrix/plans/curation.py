@@ -1,5 +1,307 @@
-"""Queries to come."""
+"""Preparation, audit, review and derivation over the curation tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import boxes, names
+from ..operators import audit, near, preparation, review, sets, validation
+from ..stage import Stages, table
+from . import inputs
 from .registry import Registry
 
 registry = Registry()
+_I, _C, _L = inputs.IMAGES, inputs.CATEGORIES, inputs.LABELS
+
+
+def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "category_names").where("class_id IS NOT NULL").select("class_id", "class_name").distinct()
+
+
+def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = inputs.images(spark, sf_dir).select("image_id", "split", "stem")
+    return inputs.label_boxes(spark, sf_dir).join(i, "stem")
+
+
+@registry.query(
+    f"""WITH {_I}, {_L}, o AS (SELECT image_id, split, class_id FROM lab JOIN images USING (stem) WHERE split IS NOT NULL)
+SELECT s.split, c.class_id, c.class_name, count(o.image_id) AS objects, count(DISTINCT o.image_id) AS images FROM (SELECT DISTINCT split FROM images WHERE split IS NOT NULL) s
+CROSS JOIN (SELECT DISTINCT class_id, class_name FROM category_names WHERE class_id IS NOT NULL) c LEFT JOIN o ON o.split = s.split AND o.class_id = c.class_id GROUP BY ALL"""
+)
+def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preparation.split_stats(inputs.images(spark, sf_dir).where("split IS NOT NULL"), _objects(spark, sf_dir), _classes(spark, sf_dir))
+
+
+@registry.query(
+    f"""WITH {_I}, {_C}, {_L}, k AS (SELECT image_id, count(line_id) AS kept FROM images LEFT JOIN lab USING (stem) GROUP BY 1), n AS (SELECT i.image_id, i.split, count(c.name) AS orig FROM images i LEFT JOIN cat c USING (image_id) GROUP BY ALL)
+SELECT split, count(*) AS images, CAST(count_if(kept = 0) AS BIGINT) AS negatives, CAST(count_if(kept = 0 AND orig = 0) AS BIGINT) AS originally_empty, CAST(count_if(kept = 0 AND orig > 0) AS BIGINT) AS empty_after_filtering, CAST(sum(kept) AS BIGINT) AS objects
+FROM n JOIN k USING (image_id) WHERE split IS NOT NULL GROUP BY 1"""
+)
+def split_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    originals = inputs.categories(spark, sf_dir).groupBy("image_id").agg(F.count("*").alias("originals"))
+    i = inputs.images(spark, sf_dir).where("split IS NOT NULL").select("image_id", "split").join(originals, "image_id", "left").fillna(0, ["originals"])
+    return preparation.image_stats(i, _objects(spark, sf_dir), "originals")
+
+
+@registry.query("""WITH n AS (SELECT DISTINCT trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS plain, class_id FROM category_names),
+p AS (SELECT DISTINCT prediction_id, trim(regexp_replace(lower(raw_class_name), '[^a-z0-9]+', ' ', 'g')) AS plain FROM canonical_predictions)
+SELECT coalesce(class_id, -1) AS class_id, count(*) AS predictions FROM p LEFT JOIN n USING (plain) GROUP BY 1""")
+def prediction_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions by the class that their raw name stands for; -1 is out of scope."""
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    mapping = table(spark, sf_dir, "category_names").where("class_id IS NOT NULL").select(plain(F.col("name")).alias("source_name"), "class_id", "class_name").distinct()
+    raw = table(spark, sf_dir, "canonical_predictions").select("prediction_id", plain(F.col("raw_class_name")).alias("raw")).distinct()
+    inside, outside = preparation.split_by_scope(raw, "raw", mapping)
+    both = inside.select("class_id").unionByName(outside.select(F.lit(-1).alias("class_id")))
+    return both.groupBy("class_id").agg(F.count("*").alias("predictions"))
+
+
+@registry.query(f"WITH {_I}, {_C} SELECT composition, count(*) AS n FROM (SELECT image_id, coalesce(string_agg(DISTINCT name, ' + ' ORDER BY name), '') AS composition FROM images LEFT JOIN cat USING (image_id) GROUP BY 1) GROUP BY 1")
+def composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = inputs.images(spark, sf_dir).select("image_id").join(inputs.categories(spark, sf_dir).select("image_id", "name"), "image_id", "left")
+    return audit.composition(every, "image_id", "name")
+
+
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, split, categories, objects)."""
+    cats = inputs.categories(spark, sf_dir).groupBy("image_id").agg(F.collect_set("name").alias("categories"))
+    n = _objects(spark, sf_dir).groupBy("image_id").agg(F.count("*").alias("objects"))
+    i = inputs.images(spark, sf_dir).select("image_id", "split").join(cats, "image_id", "left").join(n, "image_id", "left")
+    return i.withColumn("categories", F.coalesce("categories", F.array().cast("array<string>"))).fillna(0, ["objects"])
+
+
+_AUDITED = f"""{_I}, {_C}, {_L}, a AS (SELECT i.image_id, i.split, coalesce(o.n, 0) AS objects, coalesce(c.names, []) AS names FROM images i
+  LEFT JOIN (SELECT image_id, count(*) AS n FROM lab JOIN images USING (stem) GROUP BY 1) o USING (image_id) LEFT JOIN (SELECT image_id, list(name) AS names FROM cat GROUP BY 1) c USING (image_id)),
+f AS (SELECT *, len(names) > 0 AND len(list_filter(names, lambda x: x NOT IN ('Blackheads', 'Whiteheads'))) = 0 AS strict, len(list_filter(names, lambda x: x IN ('Blackheads', 'Whiteheads'))) > 0 AS touches FROM a)"""
+
+
+@registry.query(
+    f"""WITH {_AUDITED}, p AS (SELECT objects, unnest(['N0', 'N1', 'N2']) AS policy, unnest([false, coalesce(split = 'train' AND strict, false), coalesce(split = 'train' AND objects = 0 AND len(names) > 0, false)]) AS gone FROM f)
+SELECT policy, CAST(count_if(gone) AS BIGINT) AS removed, CAST(count_if(NOT gone) AS BIGINT) AS remaining, CAST(coalesce(sum(CASE WHEN NOT gone THEN objects END), 0) AS BIGINT) AS objects_remaining FROM p GROUP BY 1"""
+)
+def policy_whatif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = F.col("split") == "train"
+    policies = {"N0": F.lit(False), "N1": train & audit.is_strict_negative(F.col("categories")), "N2": audit.filter_created_negative(F.col("split"), F.col("objects"), F.col("categories"))}
+    return audit.what_if(_audited(spark, sf_dir), policies)
+
+
+@registry.query(f"WITH {_AUDITED} SELECT CAST(count_if(strict) AS BIGINT) AS strict, CAST(count_if(touches AND NOT strict) AS BIGINT) AS mixed, count(*) AS images FROM f")
+def strict_and_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("categories")
+    return _audited(spark, sf_dir).agg(F.count_if(audit.is_strict_negative(c)).alias("strict"), F.count_if(audit.is_mixed(c)).alias("mixed"), F.count("*").alias("images"))
+
+
+@registry.query(
+    f"""WITH {_AUDITED}, g AS (SELECT *, coalesce(split = 'train' AND strict, false) AS gone FROM f WHERE split IS NOT NULL)
+SELECT split, count(*) AS images, CAST(count_if(gone) AS BIGINT) AS images_removed, CAST(count_if(NOT gone) AS BIGINT) AS images_after, CAST(sum(objects) AS BIGINT) AS objects,
+  CAST(coalesce(sum(CASE WHEN gone THEN objects END), 0) AS BIGINT) AS objects_removed, CAST(coalesce(sum(CASE WHEN NOT gone THEN objects END), 0) AS BIGINT) AS objects_after FROM g GROUP BY 1"""
+)
+def before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _audited(spark, sf_dir).where("split IS NOT NULL").withColumn("gone", (F.col("split") == "train") & audit.is_strict_negative(F.col("categories")))
+    return audit.before_after(rows, "gone")
+
+
+_ERRORS_SQL = r"""WITH l AS (SELECT DISTINCT line_id, line, string_split(trim(regexp_replace(line, '\s+', ' ', 'g')), ' ') AS f FROM label_lines WHERE regexp_matches(line, '\S')),
+n AS (SELECT line_id, len(f) = 5 AND regexp_full_match(f[1], '[+-]?[0-9]+') AND len(list_filter(f[2:5], lambda x: NOT regexp_full_match(x, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?'))) = 0 AS ok, f FROM l),
+v AS (SELECT line_id, ok, CASE WHEN ok THEN try_cast(f[1] AS HUGEINT) END AS c, CASE WHEN ok THEN list_transform(f[2:5], lambda x: try_cast(x AS DOUBLE)) END AS p FROM n),
+e AS (SELECT line_id, c, CASE WHEN NOT ok THEN ['MALFORMED'] ELSE list_filter([CASE WHEN NOT c BETWEEN 0 AND 3 THEN 'CLASS' END, CASE WHEN len(list_filter(p, lambda x: x BETWEEN 0 AND 1)) < 4 THEN 'COORDINATE' END,
+  CASE WHEN p[3] <= 0 OR p[4] <= 0 THEN 'SIZE' END], lambda x: x IS NOT NULL) END AS errors FROM v)"""
+
+
+@registry.query(_ERRORS_SQL + " SELECT error, count(*) AS n FROM (SELECT unnest(errors) AS error FROM e) GROUP BY 1")
+def label_line_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors add up on a line, other than in the loading of lines, where the first decides."""
+    lines = table(spark, sf_dir, "label_lines").select("line_id", "line").distinct()
+    return audit.histogram(lines.withColumn("errors", validation.line_errors(F.col("line"))), "errors").withColumnRenamed("flag", "error")
+
+
+@registry.query(_ERRORS_SQL + " SELECT CAST(c AS INTEGER) AS class_id, count(*) AS n FROM e WHERE NOT list_contains(errors, 'MALFORMED') AND NOT list_contains(errors, 'CLASS') GROUP BY 1")
+def label_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line with a valid class counts even if its coordinates are bad."""
+    lines = table(spark, sf_dir, "label_lines").select("line_id", "line").distinct().withColumn("class_id", validation.class_of_line(F.col("line")))
+    return lines.where("class_id IS NOT NULL").groupBy("class_id").agg(F.count("*").alias("n"))
+
+
+@registry.query(r"""WITH l AS (SELECT path, content, row_number() OVER (PARTITION BY file_id ORDER BY written_at DESC, content DESC) AS r FROM label_files) SELECT path FROM l WHERE r = 1 AND NOT coalesce(regexp_matches(content, '\S'), false)""")
+def negative_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label files that are there and have no line with text."""
+    last = table(spark, sf_dir, "label_files").groupBy("file_id", "path").agg(F.max(F.struct("written_at", "content")).alias("last")).select("path", "last.content")
+    lines = last.select("path", F.explode(F.split("content", r"\r\n?|\n")).alias("line")).where(F.col("line").rlike(r"\S"))
+    return validation.negatives(last, lines, ["path"])
+
+
+@registry.query(
+    rf"""WITH {_I}, s AS (SELECT DISTINCT regexp_extract(regexp_extract(label_file, '([^/\\]*)$', 1), '^(.+)[.][^.]*$', 1) AS stem FROM label_lines WHERE label_file IS NOT NULL), i AS (SELECT DISTINCT stem FROM images)
+SELECT stem, 'label' AS missing FROM (SELECT stem FROM i EXCEPT SELECT stem FROM s) UNION ALL SELECT stem, 'image' FROM (SELECT stem FROM s EXCEPT SELECT stem FROM i)"""
+)
+def unmatched_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "label_lines").where("label_file IS NOT NULL").select(names.stem(F.col("label_file")).alias("stem"))
+    return validation.unmatched(inputs.images(spark, sf_dir), labels, ["stem"])
+
+
+@registry.query(
+    r"""WITH a AS (SELECT DISTINCT regexp_extract(regexp_extract(label_file, '([^/\\]*)$', 1), '^(.+)[.][^.]*$', 1) AS stem, line_no AS position, trim(regexp_replace(line, '\s+', ' ', 'g')) AS x FROM label_lines WHERE regexp_matches(line, '\S')),
+l AS (SELECT * FROM (SELECT path, content, row_number() OVER (PARTITION BY file_id ORDER BY written_at DESC, content DESC) AS r FROM label_files) WHERE r = 1),
+b AS (SELECT stem, CAST(i AS INTEGER) AS position, trim(regexp_replace(ls[i], '\s+', ' ', 'g')) AS x FROM (SELECT regexp_extract(regexp_extract(path, '([^/\\]*)$', 1), '^(.+)[.][^.]*$', 1) AS stem, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT path, list_filter(string_split_regex(content, '\r\n?|\n'), lambda s: regexp_matches(s, '\S')) AS ls FROM l)))
+SELECT CASE WHEN b.x IS NULL THEN 'MISSING_LABEL' WHEN a.x IS NULL THEN 'MISSING_ANNOTATION' ELSE 'DIFFERENT' END AS problem, count(*) AS n FROM a FULL JOIN b ON a.stem = b.stem AND a.position = b.position WHERE a.x IS DISTINCT FROM b.x GROUP BY 1"""
+)
+def positional_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two forms of the label text compared place by place, as text."""
+    flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    a = table(spark, sf_dir, "label_lines").where(F.col("line").rlike(r"\S")).select(names.stem(F.col("label_file")).alias("stem"), F.col("line_no").alias("position"), flat(F.col("line")).alias("x")).distinct()
+    last = table(spark, sf_dir, "label_files").groupBy("file_id", "path").agg(F.max(F.struct("written_at", "content")).alias("last"))
+    listed = F.filter(F.split("last.content", r"\r\n?|\n"), lambda s: s.rlike(r"\S"))
+    b = last.select(names.stem(F.col("path")).alias("stem"), F.posexplode(listed).alias("p", "line")).select("stem", (F.col("p") + 1).alias("position"), flat(F.col("line")).alias("y"))
+    both = a.join(b, ["stem", "position"], "full").where(~F.col("x").eqNullSafe(F.col("y")))
+    problem = F.when(F.col("y").isNull(), "MISSING_LABEL").when(F.col("x").isNull(), "MISSING_ANNOTATION").otherwise("DIFFERENT")
+    return both.groupBy(problem.alias("problem")).agg(F.count("*").alias("n"))
+
+
+_PIXEL = "b AS (SELECT image_id, line_id, (x_center - w / 2) * width AS x1, (y_center - h / 2) * height AS y1, (x_center + w / 2) * width AS x2, (y_center + h / 2) * height AS y2 FROM lab JOIN images USING (stem))"
+
+
+@registry.query(
+    f"""WITH {_I}, {_L}, {_PIXEL}, p AS (SELECT image_id, x.line_id AS a, y.line_id AS b, greatest(0, least(x.x2, y.x2) - greatest(x.x1, y.x1)) * greatest(0, least(x.y2, y.y2) - greatest(x.y1, y.y1)) AS inter,
+  (x.x2 - x.x1) * (x.y2 - x.y1) AS ax, (y.x2 - y.x1) * (y.y2 - y.y1) AS ay FROM b x JOIN b y USING (image_id) WHERE x.line_id < y.line_id)
+SELECT image_id, a, b, round(inter / (ax + ay - inter), 6) AS iou FROM p WHERE inter / (ax + ay - inter) >= 0.3"""
+)
+def box_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label boxes of one image with an overlap of at least 0.3, so that these data have some; 0.8 is the default elsewhere."""
+    b = inputs.truth(spark, sf_dir)
+    return near.overlapping(b, ["image"], "truth", ["x1", "y1", "x2", "y2"], 0.3).select(F.col("image").alias("image_id"), "a", "b", F.round("iou", 6).alias("iou"))
+
+
+_NEAR = "np AS (SELECT DISTINCT least(x.image_id, y.image_id) AS a, greatest(x.image_id, y.image_id) AS b, CAST(bit_count(xor(x.dhash, y.dhash)) AS INTEGER) AS hamming FROM images x JOIN images y ON x.image_id < y.image_id AND bit_count(xor(x.dhash, y.dhash)) BETWEEN 1 AND 4)"
+
+
+@registry.query(f"WITH {_I}, {_NEAR} SELECT a, b, hamming FROM np")
+def near_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images whose fingerprints differ in 1 to 4 bits; equal ones are exact groups."""
+    return near.near_duplicates(inputs.images(spark, sf_dir), "image_id", "dhash")
+
+
+@registry.query(
+    f"""WITH {_I}, {_NEAR}, d AS (SELECT trim(regexp_replace(file_a, '^.*[/\\\\]', '')) AS fa, trim(regexp_replace(file_b, '^.*[/\\\\]', '')) AS fb FROM duplicate_review),
+base AS (SELECT x.image_id AS a, y.image_id AS b FROM d JOIN images x ON x.file_name = fa JOIN images y ON y.file_name = fb)
+SELECT a, b, hamming FROM np WHERE NOT EXISTS (SELECT 1 FROM base WHERE (base.a = np.a AND base.b = np.b) OR (base.a = np.b AND base.b = np.a))"""
+)
+def new_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near pairs that nobody has judged yet."""
+    i = inputs.images(spark, sf_dir).select("image_id", "file_name")
+    d = table(spark, sf_dir, "duplicate_review").select(names.bare_name(F.col("file_a")).alias("fa"), names.bare_name(F.col("file_b")).alias("fb"))
+    base = d.join(i.select(F.col("file_name").alias("fa"), F.col("image_id").alias("a")), "fa").join(i.select(F.col("file_name").alias("fb"), F.col("image_id").alias("b")), "fb").select("a", "b")
+    return near.not_in_baseline(near_images(spark, sf_dir), base, "a", "b").select("a", "b", "hamming")
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_name, root, split) of files linked by review."""
+    comp = review.connected(inputs.review_links(spark, sf_dir), "a", "b").withColumnRenamed("node", "file_name")
+    split = inputs.images(spark, sf_dir).select("file_name", "split").where("split IS NOT NULL")
+    return Stages(spark).write(comp.join(split, "file_name", "left"), "members")
+
+
+_MEMBERS = f"""{_I}, {inputs.COMPONENTS}, m AS (SELECT file_name, root, split FROM comp LEFT JOIN (SELECT DISTINCT file_name, split FROM images WHERE split IS NOT NULL) USING (file_name)),
+g AS (SELECT root, count(*) AS num_files, coalesce(bool_or(split = 'train'), false) AS has_train, coalesce(bool_or(split = 'val'), false) AS has_val, coalesce(bool_or(split = 'test'), false) AS has_test FROM m GROUP BY 1)"""
+_REMOVED = f"""{_MEMBERS}, {_C}, strict AS (SELECT i.file_name FROM images i JOIN (SELECT image_id FROM cat GROUP BY 1 HAVING count_if(name NOT IN ('Blackheads', 'Whiteheads')) = 0) USING (image_id) WHERE i.split = 'train'),
+rem AS (SELECT file_name, max(reason) AS reason FROM (SELECT file_name, 'STRICT_N1_BLACKHEAD_WHITEHEAD_NEGATIVE' AS reason FROM strict UNION ALL
+  SELECT file_name, CASE WHEN split = 'train' AND (has_val OR has_test) THEN 'CONFIRMED_CROSS_SPLIT_B_VARIANT' WHEN split = 'val' AND has_test THEN 'VAL_TEST_LEAKAGE_S1_REMOVE_VAL' END FROM m JOIN g USING (root)) WHERE reason IS NOT NULL GROUP BY 1)"""
+
+
+@registry.query(f"WITH RECURSIVE {inputs.COMPONENTS} SELECT file_name AS node, root FROM comp")
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.connected(inputs.review_links(spark, sf_dir), "a", "b")
+
+
+@registry.query(
+    f"WITH RECURSIVE {_MEMBERS} SELECT root, num_files, has_train, has_val, has_test, array_to_string(list_filter([CASE WHEN has_train THEN 'train' END, CASE WHEN has_val THEN 'val' END, CASE WHEN has_test THEN 'test' END], lambda x: x IS NOT NULL), ';') AS splits,"
+    " CASE WHEN has_val AND has_test THEN 'HOLD_VAL_TEST_REVIEW' ELSE 'PROPOSE_TRAIN_EXCLUSION_ONLY' END AS status FROM g"
+)
+def review_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.group_table(_members(spark, sf_dir), "root", "split")
+
+
+@registry.query(
+    f"""WITH RECURSIVE {_MEMBERS} SELECT file_name, m.root, split, CASE WHEN split = 'train' AND (has_val OR has_test) THEN 'PROPOSE_EXCLUDE_FROM_TRAIN' WHEN has_val AND has_test THEN 'RETAIN_UNCHANGED_PENDING_VAL_TEST_REVIEW' ELSE 'RETAIN_HELD_OUT_UNCHANGED' END AS action
+FROM m JOIN g ON m.root = g.root"""
+)
+def cleanup_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _members(spark, sf_dir)
+    return review.cleanup(m, review.group_table(m, "root", "split"), "root", "split").select("file_name", "root", "split", "action")
+
+
+def _removed(spark: SparkSession, sf_dir: str, members: DataFrame) -> DataFrame:
+    strict = _audited(spark, sf_dir).where((F.col("split") == "train") & audit.is_strict_negative(F.col("categories"))).select("image_id")
+    named = strict.join(inputs.images(spark, sf_dir).select("image_id", "file_name"), "image_id")
+    return review.removals(members, review.group_table(members, "root", "split"), named, "root", "file_name", "split")
+
+
+@registry.query(f"WITH RECURSIVE {_REMOVED} SELECT file_name, reason FROM rem")
+def derived_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _removed(spark, sf_dir, _members(spark, sf_dir))
+
+
+@registry.query(f"WITH RECURSIVE {_REMOVED} SELECT m.file_name, coalesce((SELECT string_agg(DISTINCT s.file_name, ';' ORDER BY s.file_name) FROM m s WHERE s.root = m.root AND s.split IN ('val', 'test') AND s.file_name NOT IN (SELECT file_name FROM rem)), '') AS counterparts FROM m WHERE file_name IN (SELECT file_name FROM rem)")
+def retained_counterparts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _members(spark, sf_dir)
+    return review.retained_counterparts(m, _removed(spark, sf_dir, m), "root", "file_name", "split")
+
+
+@registry.query(f"WITH RECURSIVE {_REMOVED} SELECT i.split, count(*) AS images FROM (SELECT DISTINCT file_name, split FROM images WHERE split IS NOT NULL) i WHERE file_name NOT IN (SELECT file_name FROM rem) GROUP BY 1")
+def derived_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays when the removals are applied, checked for groups that still span splits."""
+    m = _members(spark, sf_dir)
+    removed = _removed(spark, sf_dir, m)
+    i = inputs.images(spark, sf_dir).where("split IS NOT NULL").select("file_name", "split").distinct()
+    kept, members = sets.remove(i, m, removed, ["file_name"])
+    spanning = members.groupBy("root").agg(F.count_distinct("split").alias("n")).where("n > 1")
+    validation.assert_none(spanning, "groups that still span splits")
+    return kept.groupBy("split").agg(F.count("*").alias("images"))
+
+
+@registry.query(f"WITH RECURSIVE {inputs.COMPONENTS} SELECT root, 'G' || lpad(CAST(row_number() OVER (ORDER BY root) AS VARCHAR), CAST(greatest(3, length(CAST(row_number() OVER (ORDER BY root) AS VARCHAR))) AS INTEGER), '0') AS group_id FROM (SELECT DISTINCT root FROM comp)")
+def group_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.group_numbers(components(spark, sf_dir), "root", "node")
+
+
+@registry.query(f"WITH {inputs.LINKS} SELECT node, count(*) AS pairs FROM (SELECT a AS node FROM links UNION ALL SELECT b FROM links) GROUP BY 1 HAVING count(*) > 1")
+def repeated_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.repeated_nodes(inputs.review_links(spark, sf_dir).distinct(), "a", "b")
+
+
+@registry.query(
+    rf"""WITH {_I}, {inputs.LINKS}, {_L}, s AS (SELECT i.file_name, list_sort(list({{'c': CAST(class_id AS INTEGER), 'b': [x_center, y_center, w, h]}}) FILTER (WHERE line_id IS NOT NULL)) AS sig, list_sort(list(CAST(class_id AS INTEGER)) FILTER (WHERE line_id IS NOT NULL)) AS cls FROM images i LEFT JOIN lab USING (stem) GROUP BY 1)
+SELECT CASE WHEN x.cls IS DISTINCT FROM y.cls THEN 'CLASS_OR_COUNT' WHEN x.sig IS DISTINCT FROM y.sig THEN 'BOX_GEOMETRY' ELSE 'MATCH' END AS difference, count(*) AS pairs FROM links JOIN s x ON x.file_name = a JOIN s y ON y.file_name = b GROUP BY 1"""
+)
+def annotation_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the labels of linked files differ."""
+    item = F.struct(F.col("class_id").alias("class"), F.array("x_center", "y_center", "w", "h").alias("bbox"))
+    sig = inputs.label_boxes(spark, sf_dir).groupBy("stem").agg(boxes.signature(F.collect_list(item)).alias("items"))
+    files = inputs.images(spark, sf_dir).select("file_name", "stem").distinct().join(sig, "stem", "left")
+    side = lambda k: files.select(F.col("file_name").alias(k), F.col("items").alias(f"items_{k}"))
+    pairs = inputs.review_links(spark, sf_dir).distinct().join(side("a"), "a").join(side("b"), "b")
+    return pairs.groupBy(review.difference(F.col("items_a"), F.col("items_b")).alias("difference")).agg(F.count("*").alias("pairs"))
+
+
+@registry.query(
+    "SELECT pair_id, 'C' || lpad(CAST(r AS VARCHAR), CAST(greatest(3, length(CAST(r AS VARCHAR))) AS INTEGER), '0') AS ordinal FROM (SELECT pair_id, row_number() OVER (ORDER BY rmse, dhash_distance, a, b, pair_id) AS r FROM "
+    "(SELECT DISTINCT pair_id, rmse, dhash_distance, coalesce(file_a, '') AS a, coalesce(file_b, '') AS b FROM duplicate_review WHERE pair_id IS NOT NULL AND rmse IS NOT NULL AND dhash_distance IS NOT NULL AND split_a <> split_b))"
+)
+def ranked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-split pairs by closeness, with ordinals."""
+    r = table(spark, sf_dir, "duplicate_review").where("pair_id IS NOT NULL AND rmse IS NOT NULL AND dhash_distance IS NOT NULL AND split_a <> split_b")
+    rows = r.select("pair_id", "rmse", "dhash_distance", F.coalesce("file_a", F.lit("")).alias("a"), F.coalesce("file_b", F.lit("")).alias("b")).distinct()
+    return review.ranked_pairs(rows, ["rmse", "dhash_distance", "a", "b", "pair_id"], "C").select("pair_id", "ordinal")
+
+
+@registry.query("SELECT lower(trim(human_decision)) AS decision, count(*) AS n, CAST(count_if(coalesce(annotation_flag, 'MATCH') = 'MATCH') AS BIGINT) AS matching FROM (SELECT DISTINCT * FROM duplicate_review) WHERE regexp_matches(pair_id, '^D[0-9]+$') AND CAST(substr(pair_id, 2) AS BIGINT) BETWEEN 31 AND 100000 GROUP BY 1")
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "duplicate_review").distinct().where(review.in_id_range(F.col("pair_id"), 31, 100_000) & F.col("pair_id").startswith("D"))
+    found = r.withColumn("difference", F.coalesce("annotation_flag", F.lit("MATCH")))
+    return found.groupBy(F.lower(F.trim("human_decision")).alias("decision")).agg(F.count("*").alias("n"), F.count_if(F.col("difference") == "MATCH").alias("matching"))
+
+
+@registry.query(f"WITH {_I}, {_L}, o AS (SELECT image_id, class_id, count(*) AS n FROM lab JOIN images USING (stem) GROUP BY ALL) SELECT image_id, string_agg(class_id || ':' || n, ',' ORDER BY class_id) AS objects FROM o GROUP BY 1")
+def object_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = review.object_map(_objects(spark, sf_dir), ["image_id"], "class_id")
+    return m.select("image_id", F.array_join(F.transform(F.map_entries("objects"), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string"))), ",").alias("objects"))
