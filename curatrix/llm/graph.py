@@ -38,9 +38,9 @@ def decompose(pairs: DataFrame, beta: float, seed: int, stages: Stages) -> DataF
     reached = stages.write(links.select(F.col("src").alias("node")).distinct().select("node", F.struct((F.log(drawn) / beta).alias("at"), F.col("node").alias("center")).alias("by")), "reached")
     fresh = reached
     while True:
-        near = fresh.join(links, fresh["node"] == links["src"]).select(F.col("dst").alias("node"), F.struct((F.col("by.at") + 1).alias("at"), F.col("by.center").alias("center")).alias("by"))
+        near = links.join(fresh.hint("merge"), fresh["node"] == links["src"]).select(F.col("dst").alias("node"), F.struct((F.col("by.at") + 1).alias("at"), F.col("by.center").alias("center")).alias("by"))
         offers = near.groupBy("node").agg(F.min("by").alias("offer"))
-        news = reached.join(offers, "node", "left").select("node", F.least("by", "offer").alias("by"), F.coalesce(F.col("offer") < F.col("by"), F.lit(False)).alias("new"))
+        news = reached.join(offers.hint("merge"), "node", "left").select("node", F.least("by", "offer").alias("by"), F.coalesce(F.col("offer") < F.col("by"), F.lit(False)).alias("new"))
         after = stages.write(news, "reached")
         stages.drop(reached)
         reached = after
@@ -57,8 +57,8 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", beta: float = 0.3,
     while not links.isEmpty():
         cluster = stages.write(decompose(links, beta, seed + len(levels), stages), "cluster")
         levels.append(cluster)
-        one = links.join(cluster.select(F.col("node").alias("a"), F.col("center").alias("ca")), "a")
-        two = one.join(cluster.select(F.col("node").alias("b"), F.col("center").alias("cb")), "b")
+        one = links.join(cluster.select(F.col("node").alias("a"), F.col("center").alias("ca")).hint("merge"), "a")
+        two = one.join(cluster.select(F.col("node").alias("b"), F.col("center").alias("cb")).hint("merge"), "b")
         inner = stages.write(clean_pairs(two.select("ca", "cb"), "ca", "cb"), "links")
         stages.drop(links)
         links = inner
@@ -67,7 +67,7 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", beta: float = 0.3,
     top = levels[-1]
     for below in reversed(levels[:-1]):
         up = top.select(F.col("node").alias("center"), F.col("center").alias("higher"))
-        top = stages.write(below.join(up, "center", "left").select("node", F.coalesce("higher", "center").alias("center")), "composed")
+        top = stages.write(below.join(up.hint("merge"), "center", "left").select("node", F.coalesce("higher", "center").alias("center")), "composed")
     least = top.groupBy("center").agg(F.min("node").alias("root"))
     return top.join(least, "center").select("node", "root")
 
@@ -84,10 +84,10 @@ def star_components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = state
         # large star: every neighbour above a vertex links to the least of the vertex and its neighbours
         least = _both_ways(links).groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("a"), F.least("src", "m").alias("m"))
-        large = clean_pairs(links.join(least, "a"), "b", "m")
+        large = clean_pairs(links.join(least.hint("merge"), "a"), "b", "m")
         # small star: every neighbour below a vertex, and the vertex, link to the least of them
         lowest = large.groupBy("b").agg(F.min("a").alias("m"))
-        lower = large.join(lowest, "b").select("a", "m").unionByName(lowest.select(F.col("b").alias("a"), "m"))
+        lower = large.join(lowest.hint("merge"), "b").select("a", "m").unionByName(lowest.select(F.col("b").alias("a"), "m"))
         after = stages.write(clean_pairs(lower, "a", "m"), "links")
         stages.drop(links)
         links = after

@@ -12,7 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..stage import Stages
@@ -39,23 +40,43 @@ def most_added(base: np.ndarray, mass: np.ndarray, starts: np.ndarray, limit: np
     return low.astype(np.int64)
 
 
+FEATURES = "array<struct<feature:string,mass:double>>"
+
+
+CARRIED = f"cls string, n long, taken long, features {FEATURES}, could long, leads boolean, best double"
+
+
 def _count(threshold: float):
-    """Rows (cls, room, base[], mass[]) to (cls, add, gain); gain is that of one more record."""
+    """Rows of CARRIED with limit and base to rows of CARRIED with add: how many more to take, at most limit; `could` and `best`, the gain of one more, are set where could is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not len(b):
                 continue
-            base, mass, room = b.column("base"), b.column("mass"), b.column("room").to_numpy()
-            starts = base.offsets.to_numpy()[:-1].astype(np.int64)
-            starts, flat, heavy = starts - starts[0], base.flatten().to_numpy(), mass.flatten().to_numpy()
-            add = most_added(flat, heavy, starts, room, threshold)
-            gain = np.where(room > 0, np.add.reduceat(np.sqrt(flat + heavy) - np.sqrt(flat), starts), 0.0)
-            yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array(add), pa.array(gain)], names=["cls", "add", "gain"])
+            base, features, limit = b.column("base"), b.column("features"), b.column("limit").to_numpy()
+            starts = base.offsets.to_numpy()[: len(b)].astype(np.int64)
+            flat, heavy = base.flatten().to_numpy(), features.flatten().field("mass").to_numpy()
+            starts = starts - starts[0]
+            add = pa.array(most_added(flat, heavy, starts, limit, threshold))
+            gain = pa.array(np.where(limit > 0, np.add.reduceat(np.sqrt(flat + heavy) - np.sqrt(flat), starts), 0.0))
+            out = {c: b.column(c) for c in ("cls", "n", "taken", "features", "could", "leads", "best")} | {"add": add}
+            out |= {"could": pc.coalesce(b.column("could"), add), "best": pc.coalesce(b.column("best"), gain)}
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     return run
 
 
+def _counted(state: DataFrame, each: Column, own: Column, limit: Column, threshold: float) -> DataFrame:
+    """Counts against a base: for each feature of a class, the sum of `each` * mass over all classes less `own` * mass. `leads` tells whether the class comes first, for all of its
+    features, among those that could add any."""
+    parts = state.select("cls", each.alias("each"), own.alias("own"), "could", F.posexplode("features").alias("k", "f")).select("cls", "each", "own", "could", "k", "f.feature", "f.mass")
+    sums = parts.groupBy("feature").agg(F.sum(F.col("each") * F.col("mass")).alias("s"), F.min(F.when(F.col("could") > 0, F.col("cls"))).alias("first"))
+    met = parts.join(sums.hint("merge"), "feature").select("cls", F.struct("k", (F.col("s") - F.col("own") * F.col("mass")).alias("s")).alias("b"), F.coalesce(F.col("first") == F.col("cls"), F.lit(False)).alias("lead"))
+    lists = met.groupBy("cls").agg(F.transform(F.array_sort(F.collect_list("b")), lambda x: F.greatest(x["s"], F.lit(0.0))).alias("base"), F.bool_and("lead").alias("lead"))
+    rows = state.join(lists.hint("merge"), "cls").select("cls", "n", "taken", "features", "could", F.col("lead").alias("leads"), "best", limit.alias("limit"), "base")
+    return rows.mapInArrow(_count(threshold), CARRIED + ", add long")
+
+
 def _first_of_all(add: DataFrame, wanted: int) -> DataFrame:
     """Lowers the counts so that they add up to `wanted`, in the order of the classes' hashes; sums by bucket keep any window small."""
     at = add.withColumn("bucket", F.pmod(F.xxhash64("cls"), F.lit(BUCKETS)))
@@ -63,48 +84,36 @@ def _first_of_all(add: DataFrame, wanted: int) -> DataFrame:
     before = sums.select("bucket", (F.sum("s").over(Window.orderBy("bucket")) - F.col("s")).alias("before"))
     inside = F.sum("add").over(Window.partitionBy("bucket").orderBy("cls")) - F.col("add")
     left = F.lit(wanted) - F.col("before") - F.col("inside")
-    return at.withColumn("inside", inside).join(F.broadcast(before), "bucket").select("cls", F.greatest(F.lit(0), F.least("add", left)).alias("add"))
+    return at.withColumn("inside", inside).join(before.hint("merge"), "bucket").select("cls", F.greatest(F.lit(0), F.least("add", left)).alias("add"))
 
 
 def class_counts(classes: DataFrame, size: int, epsilon: float, stages: Stages) -> DataFrame:
     """(cls, taken): how many records to take of each class (cls, n, features)."""
-    parts = stages.write(classes.select("cls", F.explode("features").alias("f")).select("cls", "f.feature", "f.mass"), "parts")
-    taken = stages.write(classes.select("cls", "n", F.lit(0).cast("bigint").alias("taken")), "taken")
-    chosen, threshold = 0, None
-    if size >= (taken.agg(F.sum("n")).first()[0] or 0):
-        return taken.select("cls", F.col("n").alias("taken"))
+    none = [F.lit(None).cast("bigint").alias("could"), F.lit(False).alias("leads"), F.lit(None).cast("double").alias("best")]
+    state = stages.write(classes.select("cls", "n", F.lit(0).cast("bigint").alias("taken"), F.col("features").cast(FEATURES).alias("features"), *none), "state")
+    if size >= (state.agg(F.sum("n")).first()[0] or 0):
+        return state.select("cls", F.col("n").alias("taken"))
+    threshold = state.agg(F.max(F.aggregate("features", F.lit(0.0), lambda g, f: g + F.sqrt(f["mass"])))).first()[0]
+    chosen = 0
     while chosen < size:
-        masses = parts.join(taken, "cls").groupBy("feature").agg(F.sum(F.col("taken") * F.col("mass")).alias("base"))
-        at = parts.join(masses, "feature").groupBy("cls").agg(F.collect_list("base").alias("base"), F.collect_list("mass").alias("mass"))
-        at = at.join(taken, "cls").select("cls", (F.col("n") - F.col("taken")).alias("room"), "base", "mass")
-        if threshold is None:
-            threshold = at.mapInArrow(_count(np.inf), "cls string, add long, gain double").agg(F.max("gain")).first()[0] or 0.0
-        alone = stages.write(at.mapInArrow(_count(threshold), "cls string, add long, gain double"), "alone")
-        could, best = alone.agg(F.sum("add"), F.max("gain")).first()
-        if not best:
-            break  # every record is taken
-        if not could:
-            threshold = min(threshold * (1 - epsilon), best)
-            stages.drop(alone)
-            continue
-        wish = alone.where("add > 0").select("cls", "add")
-        rivals = parts.join(wish, "cls").groupBy("feature").agg(F.sum(F.col("add") * F.col("mass")).alias("rival"), F.min("cls").alias("first"))
-        close = parts.join(wish, "cls").join(masses, "feature").join(rivals, "feature").select("cls", "feature", "mass", "add", "first", (F.col("base") + F.col("rival") - F.col("add") * F.col("mass")).alias("base"))
-        close = close.groupBy("cls").agg(F.max("add").alias("room"), F.collect_list("base").alias("base"), F.collect_list("mass").alias("mass"), F.bool_and(F.col("first") == F.col("cls")).alias("leads"))
-        sure = close.select("cls", "room", "base", "mass").mapInArrow(_count(threshold), "cls string, add long, gain double").select("cls", "add")
-        leads = close.where("leads").select("cls", F.col("room").alias("alone"))
-        added = stages.write(sure.join(leads, "cls", "left"), "added")
-        safe, lone = added.agg(F.sum("add"), F.sum("alone")).first()
-        # no class is sure of its gain: those that come first for all of their features have no rival among themselves
-        more = added.select("cls", "add") if safe else added.select("cls", F.coalesce("alone", F.lit(0)).alias("add"))
-        got = safe or lone
-        if chosen + got > size:
-            more, got = _first_of_all(more, size - chosen), size - chosen
-        after = stages.write(taken.join(more, "cls", "left").select("cls", "n", (F.col("taken") + F.coalesce("add", F.lit(0))).alias("taken")), "taken")
-        stages.drop(taken, alone, added)
-        taken, chosen = after, chosen + got
-        threshold *= 1 - epsilon
-    return taken.where("taken > 0").select("cls", "taken")
+        # what each class could add if no other did; then what it can be sure of, all others adding what they could
+        alone = _counted(state, F.col("taken"), F.lit(0), F.col("n") - F.col("taken"), threshold).drop("add")
+        added = stages.write(_counted(alone, F.col("taken") + F.col("could"), F.col("could"), F.col("could"), threshold), "added")
+        lone = F.when(F.col("leads"), F.col("could")).otherwise(0)
+        safe, led, best = added.agg(F.sum("add"), F.sum(lone), F.max("best")).first()
+        # if no class is sure of its gain, those that come first for all of their features have no rival among themselves
+        more, got = (F.col("add"), safe) if safe else (lone, led)
+        if got:
+            rows = added.withColumn("add", more)
+            if chosen + got > size:
+                got = size - chosen
+                rows = added.drop("add").join(_first_of_all(rows, got).hint("merge"), "cls")
+            after = stages.write(rows.select("cls", "n", (F.col("taken") + F.col("add")).alias("taken"), "features", *none), "state")
+            stages.drop(state)
+            state, chosen = after, chosen + got
+        stages.drop(added)
+        threshold = threshold * (1 - epsilon) if got else min(threshold * (1 - epsilon), best)
+    return state.where("taken > 0").select("cls", "taken")
 
 
 def varied_subset(records: DataFrame, ident: str, features: str, size: int, epsilon: float = 0.2, seed: int = 9) -> DataFrame:
@@ -121,7 +130,7 @@ def varied_subset(records: DataFrame, ident: str, features: str, size: int, epsi
     taken = stages.write(class_counts(classes, size, epsilon, stages), "taken")
     # the records of a class by buckets of their hash: whole buckets are taken, and part of one
     hashed = rows.select("id", "cls", F.xxhash64("id", F.lit(seed)).alias("h")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
-    sums = hashed.groupBy("cls", "bucket").agg(F.count("*").alias("c")).join(taken, "cls")
+    sums = hashed.groupBy("cls", "bucket").agg(F.count("*").alias("c")).join(taken.hint("merge"), "cls")
     before = F.sum("c").over(Window.partitionBy("cls").orderBy("bucket")) - F.col("c")
     parts = sums.withColumn("take", F.col("taken") - before).where("take > 0").select("cls", "bucket", "c", "take")
     near = hashed.join(parts, ["cls", "bucket"])
