@@ -77,6 +77,14 @@ def _counted(state: DataFrame, each: Column, own: Column, limit: Column, thresho
     return rows.mapInArrow(_count(threshold), CARRIED + ", add long")
 
 
+def _one_by_feature(alone: DataFrame) -> DataFrame:
+    """Of the classes that share their heaviest feature, only the one with the fewest records taken may add in a round; else none of them could be sure of its gain."""
+    heavy = alone.withColumn("heavy", F.array_max(F.transform("features", lambda f: F.struct(f["mass"].alias("mass"), f["feature"].alias("feature"))))["feature"])
+    turn = heavy.where("could > 0").groupBy("heavy").agg(F.min(F.struct("taken", "cls"))["cls"].alias("turn"))
+    mine = heavy.join(turn.hint("merge"), "heavy", "left").withColumn("could", F.when(F.col("turn") == F.col("cls"), F.col("could")).otherwise(0))
+    return mine.drop("heavy", "turn")
+
+
 def _first_of_all(add: DataFrame, wanted: int) -> DataFrame:
     """Lowers the counts so that they add up to `wanted`, in the order of the classes' hashes; sums by bucket keep any window small."""
     at = add.withColumn("bucket", F.pmod(F.xxhash64("cls"), F.lit(BUCKETS)))
@@ -96,9 +104,9 @@ def class_counts(classes: DataFrame, size: int, epsilon: float, stages: Stages)
     threshold = state.agg(F.max(F.aggregate("features", F.lit(0.0), lambda g, f: g + F.sqrt(f["mass"])))).first()[0]
     chosen = 0
     while chosen < size:
-        # what each class could add if no other did; then what it can be sure of, all others adding what they could
+        # what each class could add if no other did; then what it can be sure of, the others adding what they could
         alone = _counted(state, F.col("taken"), F.lit(0), F.col("n") - F.col("taken"), threshold).drop("add")
-        added = stages.write(_counted(alone, F.col("taken") + F.col("could"), F.col("could"), F.col("could"), threshold), "added")
+        added = stages.write(_counted(_one_by_feature(alone), F.col("taken") + F.col("could"), F.col("could"), F.col("could"), threshold), "added")
         lone = F.when(F.col("leads"), F.col("could")).otherwise(0)
         safe, led, best = added.agg(F.sum("add"), F.sum(lone), F.max("best")).first()
         # if no class is sure of its gain, those that come first for all of their features have no rival among themselves

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,9 +19,8 @@ def vocabulary_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache(maxsize=2)
 def encoding(path: str):
-    """Read once a worker."""
+    """Reading it takes less than a tenth of a second, so each task does."""
     import public_tokenizers
     import tiktoken
 
