@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values: what counts as a number in a label line; casts alone would take 0.5f, 1_0 and the like
 INTEGER = r"^\s*[+-]?[0-9]+\s*$"
@@ -54,14 +55,14 @@ def dhash_bits(row: Column, bits: int) -> Column:
     return value
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def binary_round(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Six decimals, half to even on the exact binary value, for byte parity; native rounding is the default elsewhere."""
     for v in values:
         yield v.map(lambda x: None if x is None or np.isnan(x) else round(float(x), 6))
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def gray_dhash(gray: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Fingerprint of 8 rows of 9 gray values each, row by row: is a pixel brighter than its left neighbour?"""
     for column in gray:

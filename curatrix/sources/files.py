@@ -13,10 +13,27 @@ from ..functions import names
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".webp", ".tif", ".tiff")
 
 
+def _fs(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def empty_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """(path, modified) of the files of no bytes, which Spark's file sources leave out. The driver walks the listing, as it does for any file source."""
+    fs, target = _fs(spark, root)
+    found, each = [], fs.listFiles(target, recursive)
+    while each.hasNext():
+        status = each.next()
+        if status.getLen() == 0 and not status.getPath().getName().startswith(("_", ".")):
+            found.append((status.getPath().toString(), status.getModificationTime() / 1000))
+    return spark.createDataFrame(found, "path string, modified double").withColumn("modified", F.timestamp_seconds("modified"))
+
+
 def listing(spark: SparkSession, root: str, suffixes: Iterable[str] | None = None, recursive: bool = True) -> DataFrame:
     """(path, size, modified) of the files below root; suffixes are compared without case. Contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
     out = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    out = out.unionByName(empty_files(spark, root, recursive).withColumn("size", F.lit(0).cast("bigint")))
     return out.where(names.suffix(F.col("path")).isin(*(s.lower() for s in suffixes))) if suffixes else out
 
 
@@ -25,7 +42,8 @@ def manifest(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = F.length(F.lit(root.rstrip("/").removeprefix("file:").replace("//", "/"))) + 2
     clean = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
-    return files.select(F.substr(clean, base).alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    empty = empty_files(spark, root).select(F.substr(clean, base).alias("path"), F.lit(0).cast("bigint").alias("size"), F.sha2(F.lit("").cast("binary"), 256).alias("sha256"))
+    return files.select(F.substr(clean, base).alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256")).unionByName(empty)
 
 
 def manifest_changes(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -40,11 +58,6 @@ def assert_unchanged(before: DataFrame, after: DataFrame) -> None:
         raise RuntimeError("protected files changed: " + ", ".join(f"{r['path']} ({r['change']})" for r in first))
 
 
-def _fs(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     fs, target = _fs(spark, path)
     return fs.exists(target)
