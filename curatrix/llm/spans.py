@@ -190,7 +190,8 @@ def shared_windows(docs: DataFrame, id_col: str, text_col: str, least: int = 200
     cut = stages.write(src.join(asked, "id").select("text", "runs", "wide"), "asked")
     owner = f"key long, content long, low {kind}, high {kind}"
     pieces = cut.where(~F.col("wide")).select("text", "runs").mapInArrow(_cut(least, True), f"{owner}, snippet string")
-    spans = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_match(least), "key long, content long, a int, b int")
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number, else small snippets, costly to match, end in one task
+    spans = pieces.repartition(width, "key").sortWithinPartitions("key").mapInArrow(_match(least), "key long, content long, a int, b int")
     windows = cut.where("wide").select("text", "runs").mapInArrow(_cut(least, False), f"window binary, {owner}, at int")
     twice = windows.groupBy("window").agg(F.min("low").alias("lo"), F.max("high").alias("hi")).where("lo <> hi").select("window")
     single = windows.join(twice, "window").select("key", "content", F.col("at").alias("a"), (F.col("at") + 1).alias("b"))
