@@ -39,7 +39,7 @@ def dedup_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query(
     _W
     + """, g AS (SELECT sha, count(*) AS n, min(split) <> max(split) AS cr, min(sig) <> max(sig) AS conflict FROM i WHERE sha IS NOT NULL GROUP BY sha HAVING count(*) > 1)
-SELECT count(*) AS groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS files, CAST(count_if(cr) AS BIGINT) AS cross_split_groups, CAST(count_if(conflict) AS BIGINT) AS conflicting_groups,
+SELECT count(*) AS groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS files, coalesce(CAST(count_if(cr) AS BIGINT), 0) AS cross_split_groups, coalesce(CAST(count_if(conflict) AS BIGINT), 0) AS conflicting_groups,
   CAST(coalesce(sum(CASE WHEN conflict AND NOT cr THEN n ELSE n - 1 END), 0) AS BIGINT) AS removed_files, CAST(coalesce(sum(CASE WHEN conflict AND NOT cr THEN n END), 0) AS BIGINT) AS excluded_files FROM g"""
 )
 def dup_report(spark: SparkSession, sf_dir: str) -> DataFrame:

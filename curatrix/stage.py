@@ -5,6 +5,8 @@ A written table cuts the lineage and outlives a lost executor, because it lies i
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,7 +17,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where that is unset, as in tests, one of our own for this session."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.curatrix.stage.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="curatrix-")
+        own = tempfile.mkdtemp(prefix="curatrix-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
         spark.conf.set("spark.curatrix.stage.dir", found)
     return found.rstrip("/")
 
@@ -25,7 +29,10 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 class Stages:
-    """Writes tables and forgets those that no later step reads."""
+    """Writes tables and deletes those that no later step reads.
+
+    Tables that a result still reads stay until the cluster empties the folder, as it does with checkpoints.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
