@@ -7,8 +7,9 @@ different snippets, a suffix automaton of the shard is built and each of its sni
 Equal snippets are one row before that, so copies, however many, cost one row a shard.
 
 The automata aren't broadcast: all of them together grow as the texts do, and every record would have to meet every one.
-Instead, a shard goes to the only records that can match it. A gram with more than `shard_rows` different snippets (long boilerplate
-before different texts) has no automaton; its windows are counted one by one by their 128-bit hash, which is exact at any size.
+Instead, a shard goes to the only records that can match it. A gram with more than `shard_rows` different snippets or `shard_chars`
+characters in them (long boilerplate before different texts) would need an automaton larger than a worker's memory should hold; its windows
+are counted one by one by their 128-bit hash instead, which is exact at any size.
 """
 
 from __future__ import annotations
@@ -161,7 +162,7 @@ def _match(least: int):
     return run
 
 
-def shared_windows(docs: DataFrame, id_col: str, text_col: str, least: int = 200, gram: int | None = None, shard_rows: int = 256) -> DataFrame:
+def shared_windows(docs: DataFrame, id_col: str, text_col: str, least: int = 200, gram: int | None = None, shard_rows: int = 256, shard_chars: int = 1 << 17) -> DataFrame:
     """(id, start, stop): character ranges of each record that occur in another record, each `least` long or longer.
 
     Ranges of one record may overlap or touch. Nulls and texts shorter than `least` have none. A passage twice in one record isn't shared
@@ -183,7 +184,8 @@ def shared_windows(docs: DataFrame, id_col: str, text_col: str, least: int = 200
     stages.drop(runs)
     unequal = mine.where(~F.col("same"))
     snippets = unequal.groupBy("key", "content").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("n").alias("n"))
-    wide = snippets.groupBy("key").agg(F.count("*").alias("m")).select("key", (F.col("m") > shard_rows).alias("wide"))
+    size = snippets.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.col("n") + least).alias("chars"))
+    wide = size.select("key", ((F.col("m") > shard_rows) | (F.col("chars") > shard_chars)).alias("wide"))
     places = unequal.groupBy("key", "content", "id").agg(F.min("first").alias("first"))
     asked = snippets.join(places.withColumnRenamed("id", "low"), ["key", "content", "low"]).join(wide, "key")
     asked = asked.groupBy(F.col("low").alias("id"), "wide").agg(F.collect_list(F.struct("key", "content", "low", "high", "first", "n")).alias("runs"))
