@@ -14,9 +14,14 @@ from pyspark.sql import functions as F
 CHANGED = 1e-9
 
 
+def parts(bbox: Column) -> list[Column]:
+    """The four numbers of a box; null where it is shorter."""
+    return [F.get(bbox, F.lit(k)) for k in range(4)]
+
+
 def clip(bbox: Column, width: Column, height: Column) -> Column:
     """struct<bbox array<double>, changed boolean> of an [x, y, w, h] box cut to its image; null if it hasn't four numbers or no area is left."""
-    x, y, w, h = (bbox[k] for k in range(4))
+    x, y, w, h = parts(bbox)
     inside = lambda v, most: F.greatest(F.lit(0.0), F.least(v, most.cast("double")))
     x1, y1, x2, y2 = inside(x, width), inside(y, height), inside(x + w, width), inside(y + h, height)
     cut = F.array(x1, y1, x2 - x1, y2 - y1)
@@ -27,7 +32,7 @@ def clip(bbox: Column, width: Column, height: Column) -> Column:
 
 def to_center(bbox: Column, width: Column, height: Column) -> list[Column]:
     """x_center, y_center, width, height as shares of the image, of a COCO box."""
-    x, y, w, h = (bbox[k] for k in range(4))
+    x, y, w, h = parts(bbox)
     return [(x + w / 2) / width, (y + h / 2) / height, w / width, h / height]
 
 
@@ -46,7 +51,8 @@ def center_to_corners(x: Column, y: Column, w: Column, h: Column, width: Column,
 
 
 def xywh_to_corners(bbox: Column) -> list[Column]:
-    return [bbox[0], bbox[1], bbox[0] + bbox[2], bbox[1] + bbox[3]]
+    x, y, w, h = parts(bbox)
+    return [x, y, x + w, y + h]
 
 
 def corners_to_xywh(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -55,7 +61,7 @@ def corners_to_xywh(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 
 def measures(bbox: Column, width: Column, height: Column) -> dict[str, Column]:
     """Sizes in pixels and as shares of the image, and the ratio of width to height."""
-    w, h = bbox[2], bbox[3]
+    _, _, w, h = parts(bbox)
     return {
         "width_px": w, "height_px": h, "area_px": w * h, "width_norm": w / width, "height_norm": h / height,
         "area_norm": w * h / (width * height), "aspect_ratio": F.try_divide(w, h),
@@ -64,7 +70,7 @@ def measures(bbox: Column, width: Column, height: Column) -> dict[str, Column]:
 
 def edge_gap(bbox: Column, width: Column, height: Column) -> Column:
     """The least distance to an edge of the image as a share of it; below 0 if the box sticks out."""
-    x, y, w, h = (bbox[k] for k in range(4))
+    x, y, w, h = parts(bbox)
     return F.least(x / width, y / height, (width - x - w) / width, (height - y - h) / height)
 
 
@@ -74,7 +80,7 @@ TINY_SIDE, TINY_AREA, LARGE_AREA, BOUNDARY_GAP, THIN_RATIO = 4.0, 1e-4, 0.25, 0.
 
 def outlier_flags(bbox: Column, width: Column, height: Column) -> Column:
     """The flags that apply, in this order: TINY, LARGE, BOUNDARY, THIN. The limits of TINY and LARGE are exclusive, the others inclusive."""
-    w, h = bbox[2], bbox[3]
+    _, _, w, h = parts(bbox)
     area = w * h / (width * height)
     ratio = F.greatest(F.try_divide(w, h), F.try_divide(h, w))
     return F.array_compact(

@@ -7,16 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import preparation
+
 # fixed values: the points of a distribution, and the source classes of strict negatives
 POINTS = {"min": 0.0, "p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "max": 1.0}
 STRICT_NEGATIVE = ("Blackheads", "Whiteheads")
 
 
 def distribution(df: DataFrame, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(by, measure, points): exact percentiles with linear interpolation; null points where there are no values. Nulls don't count."""
+    """(by, measure, points): exact percentiles with linear interpolation; null points where there are no values. Nulls don't count.
+
+    Values are ranked by ranges, so no task holds the values of a group; the two rows next to each point are all that is gathered. Groups by null are no groups.
+    """
     each = df.select(*by, F.explode(F.array(*(F.struct(F.lit(v).alias("measure"), F.col(v).cast("double").alias("v")) for v in values))).alias("m")).select(*by, "m.*")
-    found = each.groupBy(*by, "measure").agg(F.percentile("v", F.array(*(F.lit(p) for p in POINTS.values()))).alias("p"))
-    return found.select(*by, "measure", *(F.col("p")[k].alias(name) for k, name in enumerate(POINTS)))
+    keys = [*by, "measure"]
+    counts = each.groupBy(*keys).agg(F.count("v").alias("n"))
+    points = F.explode(F.array(*(F.struct(F.lit(k).alias("point"), F.lit(p).alias("p")) for k, p in POINTS.items()))).alias("q")
+    at = counts.select(*keys, "n", points).select(*keys, "q.point", (F.col("q.p") * (F.col("n") - 1)).alias("at"), "n")
+    at = at.select(*keys, "point", "at", F.explode(F.array_distinct(F.array(F.floor("at") + 1, F.ceil("at") + 1))).alias("number"), "n")
+    ranked = preparation.numbered(each.where("v IS NOT NULL"), keys, ["v"])
+    near = at.where("n > 0").join(ranked, [*keys, "number"])
+    low, high = F.min("v"), F.max("v")
+    share = F.max(F.col("at") - F.floor("at"))
+    found = near.groupBy(*keys, "point").agg((low + (high - low) * share).alias("x"))
+    wide = found.groupBy(*keys).pivot("point", list(POINTS)).agg(F.first("x"))
+    return counts.select(*keys).join(wide, keys, "left")
 
 
 def histogram(df: DataFrame, flags: str) -> DataFrame:

@@ -175,45 +175,45 @@ RECALL_POINTS = 101
 SCORE_RANGES = 1024
 
 
-def _running(df: DataFrame, group: list[str], score: str, order: list[str]) -> DataFrame:
-    """Rows with `n` and `tps`, the counts of all and of true positives up to each row by falling score, then `order`.
-
-    A class may hold most of the rows, so ranges of the score, which lies in 0..1, are summed apart and shifted.
-    """
-    at = df.withColumn("_part", -F.floor(F.col(score) * SCORE_RANGES).cast("int"))
-    sums = at.groupBy(*group, "_part").agg(F.count("*").alias("_n"), F.count_if("tp").alias("_t"))
-    by_part = Window.partitionBy(*group).orderBy("_part")  # at most SCORE_RANGES + 1 rows
-    before = sums.select(*group, "_part", (F.sum("_n").over(by_part) - F.col("_n")).alias("_bn"), (F.sum("_t").over(by_part) - F.col("_t")).alias("_bt"))
-    inside = Window.partitionBy(*group, "_part").orderBy(F.desc(score), *order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = at.withColumn("_in", F.count("*").over(inside)).withColumn("_it", F.sum(F.col("tp").cast("long")).over(inside))
-    return rows.join(before, [*group, "_part"]).withColumn("n", F.col("_in") + F.col("_bn")).withColumn("tps", F.col("_it") + F.col("_bt"))
-
-
 def average_precision(pred: DataFrame, truth: DataFrame, most: int = 300, thresholds: list[float] | None = None) -> DataFrame:
     """(class_id, threshold, ap): interpolated over 101 recall points, boxes of any area, `most` best predictions of each image and class.
 
     Per threshold, predictions are matched by falling confidence to the unused true box of largest overlap, of equal ones the last. Ties of confidence go by
     image, then `pred`. Classes without truth have no row. Precision at a recall is the best at that recall or beyond.
+
+    A prediction is one row whatever the number of thresholds: what it hits is a bit for each. A class may hold most rows, so ranges of the confidence,
+    which lies in 0..1, are summed apart and shifted.
     """
     thresholds = thresholds or THRESHOLDS
     spark = pred.sparkSession
     best = Window.partitionBy("image", "class_id").orderBy(F.desc("conf"), "pred")
     top = pred.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= most).drop("_r")
-    levels = F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")
-    near = candidates(top, truth, ["image", "class_id"], min(thresholds) - 1e-9)
-    near = near.select("*", levels).where("iou >= least(threshold, 1 - 1e-10)")
-    keys = ["image", "class_id", "threshold"]
-    hits = greedy(near, keys, [-F.col("conf"), F.col("pred"), -F.col("iou"), -F.col("truth")]).select(*keys, "pred", F.lit(True).alias("tp"))
-    every = top.select("image", "class_id", "pred", "conf", levels).join(hits, [*keys, "pred"], "left").withColumn("tp", F.coalesce("tp", F.lit(False)))
+    levels = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.lit(t).alias("threshold")) for k, t in enumerate(thresholds)))).alias("l")
+    near = candidates(top, truth, ["image", "class_id"], min(thresholds) - 1e-9)  # few beside all predictions
+    near = near.select("*", levels).where("iou >= least(l.threshold, 1 - 1e-10)").select(*near.columns, "l.level")
+    keys = ["image", "class_id", "level"]
+    hits = greedy(near, keys, [-F.col("conf"), F.col("pred"), -F.col("iou"), -F.col("truth")])
+    bits = hits.groupBy("image", "class_id", "pred").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("level"))).alias("hit"))
+    every = top.select("image", "class_id", "pred", "conf").join(bits, ["image", "class_id", "pred"], "left")
+    every = every.withColumn("part", -F.floor(F.col("conf") * SCORE_RANGES).cast("int")).fillna(0, ["hit"])
+    hit = lambda k: (F.col("hit").bitwiseAND(1 << k) != 0).cast("long")
+    tally = {"n": F.lit(1)} | {f"t{k}": hit(k) for k in range(len(thresholds))}
+    by_part = Window.partitionBy("class_id").orderBy("part")  # at most SCORE_RANGES + 1 rows
+    sums = every.groupBy("class_id", "part").agg(*(F.sum(c).alias(name) for name, c in tally.items()))
+    before = sums.select("class_id", "part", *((F.sum(c).over(by_part) - F.col(c)).alias(f"b_{c}") for c in tally))
+    inside = Window.partitionBy("class_id", "part").orderBy(F.desc("conf"), "image", "pred").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = every.select("class_id", "part", *(F.sum(c).over(inside).alias(name) for name, c in tally.items())).join(before, ["class_id", "part"])
     support = truth.groupBy("class_id").agg(F.count("*").alias("support"))
-    ranked = _running(every, ["class_id", "threshold"], "conf", ["image", "pred"]).join(F.broadcast(support), "class_id")  # a row a class
-    recall, precision = F.col("tps") / F.col("support"), F.col("tps") / F.col("n")
-    point = F.floor(recall * (RECALL_POINTS - 1)).cast("int")
-    point = F.when(recall >= (point + 1) * 0.01, point + 1).when(recall < point * 0.01, point - 1).otherwise(point)
-    peaks = ranked.select("class_id", "threshold", point.alias("k"), precision.alias("p")).groupBy("class_id", "threshold", "k").agg(F.max("p").alias("p"))
+    ranked = ranked.join(F.broadcast(support), "class_id")  # a row a class
+    recall = lambda k: (F.col(f"t{k}") + F.col(f"b_t{k}")) / F.col("support")
+    precision = lambda k: (F.col(f"t{k}") + F.col(f"b_t{k}")) / (F.col("n") + F.col("b_n"))
+    marks = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), recall(k).alias("r"), precision(k).alias("p")) for k in range(len(thresholds))))).alias("m")
+    point = F.floor(F.col("r") * (RECALL_POINTS - 1)).cast("int")
+    point = F.when(F.col("r") >= (point + 1) * 0.01, point + 1).when(F.col("r") < point * 0.01, point - 1).otherwise(point)
+    peaks = ranked.select("class_id", marks).select("class_id", "m.*").groupBy("class_id", "level", point.alias("k")).agg(F.max("p").alias("p"))
     grid = spark.range(RECALL_POINTS).select(F.col("id").cast("int").alias("k")).join(F.broadcast(support.select("class_id"))).select("k", "class_id", levels)  # classes, points, thresholds
-    beyond = Window.partitionBy("class_id", "threshold").orderBy(F.desc("k"))
-    whole = grid.join(peaks, ["class_id", "threshold", "k"], "left").withColumn("p", F.coalesce(F.max("p").over(beyond), F.lit(0.0)))
+    beyond = Window.partitionBy("class_id", "level").orderBy(F.desc("k"))
+    whole = grid.select("k", "class_id", "l.*").join(peaks, ["class_id", "level", "k"], "left").withColumn("p", F.coalesce(F.max("p").over(beyond), F.lit(0.0)))
     return whole.groupBy("class_id", "threshold").agg(F.avg("p").alias("ap"))
 
 

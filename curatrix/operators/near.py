@@ -26,27 +26,38 @@ def near_duplicates(df: DataFrame, key: str, print_: str, thumb: str | None = No
     """(a, b, hamming[, rmse]), a < b: links between records whose fingerprints differ in at most `distance` bits and, if thumbnails are given, whose thumbnails
     differ by at most `most_rmse`; both limits inclusive.
 
-    Records with the same fingerprint are linked in a chain, each with the next by key, instead of in all pairs; records of two near
-    fingerprints in all pairs, as thumbnails may decide differently for each.
+    Records with the same fingerprint, and thumbnail, are a class, in which each is linked to the least key; classes are linked by their least keys. So no link
+    between different records is lost, and copies, however many, aren't paired with each other. Null fingerprints have no links; repeated rows count once.
     """
-    keep = [key, print_] + ([thumb] if thumb else [])
-    rows = df.select(*keep).where(F.col(print_).isNotNull())
-    pairs = print_pairs(rows, print_, distance)
-    side = lambda p, name: rows.select(F.col(key).alias(name), F.col(print_).alias(p), *([F.col(thumb).alias(f"t_{name}")] if thumb else []))
-    near = pairs.join(side("p", "x"), "p").join(side("q", "y"), "q")
+    what = [print_] + ([thumb] if thumb else [])
+    rows = df.select(key, *what).where(F.col(print_).isNotNull())
+    heads = rows.groupBy(*what).agg(F.min(key).alias("head"))
+    match = [F.col(f"r.{c}").eqNullSafe(F.col(f"h.{c}")) for c in what]
+    copies = rows.alias("r").join(heads.alias("h"), match).select(F.col("head").alias("a"), F.col(f"r.{key}").alias("b"), F.lit(0).alias("hamming"), *([F.lit(0.0).alias("rmse")] if thumb else [])).where("a < b").distinct()
+    side = lambda p, name: heads.select(F.col("head").alias(name), F.col(print_).alias(p), *([F.col(thumb).alias(f"t_{name}")] if thumb else []))
+    near = print_pairs(rows, print_, distance).join(side("p", "x"), "p").join(side("q", "y"), "q")
     if thumb:
-        near = near.withColumn("rmse", scalars.rmse(F.col("t_x"), F.col("t_y"))).where(F.col("rmse") <= most_rmse)
-    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "hamming", *(["rmse"] if thumb else []))
+        same = side("p", "x").join(side("p", "y"), "p").where("x < y").withColumn("q", F.col("p")).withColumn("hamming", F.lit(0))  # other thumbnails of one fingerprint
+        near = near.unionByName(same).withColumn("rmse", scalars.rmse(F.col("t_x"), F.col("t_y"))).where(F.col("rmse") <= most_rmse)
+    return copies.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "hamming", *(["rmse"] if thumb else [])))
 
 
-def brute_pairs(df: DataFrame, key: str, print_: str, distance: int) -> DataFrame:
-    """(a, b, hamming) of all pairs of a bounded set of fingerprints, for limits beyond what bands can tell apart.
+def search(df: DataFrame, queries: DataFrame, key: str, print_: str, distance: int, block: int = 4096) -> DataFrame:
+    """(query, key, hamming): for each record of a stated query set, all other records within `distance` bits, by comparing with each, for limits beyond what bands can tell apart.
 
-    The one side is split into blocks, each of which meets the other side whole; the set must be small enough to send to every executor.
+    The query set goes in blocks of at most `block` records, each sent to the executors whole; a block costs one pass over the records.
     """
-    rows = df.where(F.col(print_).isNotNull()).select(F.col(key).alias("k"), F.col(print_).alias("p"))
-    a, b = rows.select(F.col("k").alias("a"), F.col("p").alias("p")), rows.select(F.col("k").alias("b"), F.col("p").alias("q"))
-    return a.join(F.broadcast(b), (F.col("a") < F.col("b")) & (scalars.hamming(F.col("p"), F.col("q")) <= distance)).select("a", "b", scalars.hamming(F.col("p"), F.col("q")).alias("hamming"))
+    rows = df.where(F.col(print_).isNotNull()).select(F.col(key).alias("key"), F.col(print_).alias("q"))
+    asked = queries.where(F.col(print_).isNotNull()).select(F.col(key).alias("query"), F.col(print_).alias("p")).distinct()
+    blocks = max(1, -(-asked.count() * 2 // block))  # twice as many as needed, as hashes fill them unevenly
+    numbered = asked.withColumn("n", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+    out = None
+    for n in range(blocks):
+        one = F.broadcast(numbered.where(F.col("n") == n).drop("n"))
+        met = rows.join(one, (scalars.hamming(F.col("p"), F.col("q")) <= distance) & (F.col("query") != F.col("key")))
+        met = met.select("query", "key", scalars.hamming(F.col("p"), F.col("q")).alias("hamming"))
+        out = met if out is None else out.unionByName(met)
+    return out
 
 
 def overlapping(df: DataFrame, image: list[str], ident: str, corners: list[str], least: float = 0.8) -> DataFrame:

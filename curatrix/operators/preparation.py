@@ -57,18 +57,19 @@ def image_stats(images: DataFrame, objects: DataFrame, originals: str) -> DataFr
     )
 
 
-def numbered(df: DataFrame, group: str, order: list[str], name: str = "number") -> DataFrame:
+def numbered(df: DataFrame, group: str | list[str], order: list[str], name: str = "number") -> DataFrame:
     """Sequential numbers from 1 within each group, in order.
 
     A group may be as large as a split, so it isn't sorted in one task: ranges of the order are frozen by writing them, numbered apart, then shifted.
     """
     spark = df.sparkSession
+    groups = [group] if isinstance(group, str) else list(group)
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = Stages(spark).write(df.repartitionByRange(ranges, group, *order).withColumn("_part", F.spark_partition_id()), "ranges")
-    sizes = ranged.groupBy(group, "_part").agg(F.count("*").alias("_n"))
-    offsets = sizes.select(group, "_part", (F.sum("_n").over(Window.partitionBy(group).orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a range
-    inside = F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order))
-    return ranged.withColumn("_inside", inside).join(offsets, [group, "_part"]).withColumn(name, F.col("_before") + F.col("_inside")).drop("_part", "_inside", "_before")
+    ranged = Stages(spark).write(df.repartitionByRange(ranges, *groups, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy(*groups, "_part").agg(F.count("*").alias("_n"))
+    offsets = sizes.select(*groups, "_part", (F.sum("_n").over(Window.partitionBy(*groups).orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a range
+    inside = F.row_number().over(Window.partitionBy(*groups, "_part").orderBy(*order))
+    return ranged.withColumn("_inside", inside).join(offsets, [*groups, "_part"]).withColumn(name, F.col("_before") + F.col("_inside")).drop("_part", "_inside", "_before")
 
 
 def assert_unique(df: DataFrame, keys: list[str]) -> None:

@@ -172,12 +172,14 @@ def box_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.overlapping(b, ["image"], "truth", ["x1", "y1", "x2", "y2"], 0.3).select(F.col("image").alias("image_id"), "a", "b", F.round("iou", 6).alias("iou"))
 
 
-_NEAR = "np AS (SELECT DISTINCT least(x.image_id, y.image_id) AS a, greatest(x.image_id, y.image_id) AS b, CAST(bit_count(xor(x.dhash, y.dhash)) AS INTEGER) AS hamming FROM images x JOIN images y ON x.image_id < y.image_id AND bit_count(xor(x.dhash, y.dhash)) BETWEEN 1 AND 4)"
+_NEAR = """heads AS (SELECT dhash, min(image_id) AS head FROM images WHERE dhash IS NOT NULL GROUP BY 1),
+np AS (SELECT least(x.head, y.head) AS a, greatest(x.head, y.head) AS b, CAST(bit_count(xor(x.dhash, y.dhash)) AS INTEGER) AS hamming FROM heads x JOIN heads y ON x.dhash < y.dhash AND bit_count(xor(x.dhash, y.dhash)) <= 4
+  UNION SELECT head, image_id, 0 FROM images JOIN heads USING (dhash) WHERE head < image_id)"""
 
 
 @registry.query(f"WITH {_I}, {_NEAR} SELECT a, b, hamming FROM np")
 def near_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images whose fingerprints differ in 1 to 4 bits; equal ones are exact groups."""
+    """Images whose fingerprints differ in at most 4 bits, by the heads of classes with equal ones, and each image with its head."""
     return near.near_duplicates(inputs.images(spark, sf_dir), "image_id", "dhash")
 
 

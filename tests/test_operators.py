@@ -93,10 +93,34 @@ def test_near_duplicates_as_brute_force(spark):
     df = spark.createDataFrame(rows, "id int, d bigint, t array<double>")
     bits = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
     rm = lambda a, b: (sum((x - y) ** 2 for x, y in zip(a, b)) / len(a)) ** 0.5
-    pairs = [(a, b) for a in rows for b in rows if a[0] < b[0] and a[1] is not None and b[1] is not None and 1 <= bits(a[1], b[1]) <= 4]
-    assert {(r["a"], r["b"]) for r in near.near_duplicates(df, "id", "d").collect()} == {(a[0], b[0]) for a, b in pairs}
-    assert {(r["a"], r["b"]) for r in near.near_duplicates(df, "id", "d", "t").collect()} == {(a[0], b[0]) for a, b in pairs if rm(a[2], b[2]) <= 0.08}
+    rows += [(200 + k, r[1], r[2]) for k, r in enumerate(rows[:30])]  # copies
+    df = spark.createDataFrame(rows, "id int, d bigint, t array<double>")
+
+    def joined(pairs):
+        root = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return {x: find(x) for x in root}
+
+    known = [r for r in rows if r[1] is not None]
+    for thumb in (None, "t"):
+        links = {(r["a"], r["b"]) for r in near.near_duplicates(df, "id", "d", thumb).collect()}
+        brute = {(a[0], b[0]) for a in known for b in known if a[0] < b[0] and bits(a[1], b[1]) <= 4 and (thumb is None or rm(a[2], b[2]) <= 0.08)}
+        assert links <= brute and joined(links) == joined(brute)
+        heads = {}
+        for r in known:
+            kind = (r[1], tuple(r[2]) if thumb else ())
+            heads[kind] = min(heads.get(kind, r[0]), r[0])
+        assert {(a, b) for a, b in brute if a in heads.values() and b in heads.values()} <= links
     assert near.near_duplicates(df.limit(0), "id", "d").collect() == []
+    got = {(r["query"], r["key"]) for r in near.search(df, df.where("id % 10 = 0"), "id", "d", 20, block=4).collect()}
+    assert got == {(a[0], b[0]) for a in known for b in known if a[0] % 10 == 0 and a[0] != b[0] and bits(a[1], b[1]) <= 20}
 
 
 @pytest.mark.parametrize("least", [0.8, 0.3])
