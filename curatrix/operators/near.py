@@ -42,6 +42,22 @@ def near_duplicates(df: DataFrame, key: str, print_: str, thumb: str | None = No
     return copies.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "hamming", *(["rmse"] if thumb else [])))
 
 
+def all_pairs(df: DataFrame, key: str, print_: str, distance: int, block: int = 2048) -> DataFrame:
+    """(a, b, hamming), a < b: all pairs of records within `distance` bits, by comparing each with each, for limits beyond what bands can tell apart.
+
+    Records fall into groups of about `block` by the hash of their key. Two groups, or a group and itself, meet in one cell, so a pair meets once; a cell is
+    bounded, whatever the fingerprints are. The work grows with the square of the records. Null fingerprints have no pairs; repeated rows count once.
+    """
+    rows = df.where(F.col(print_).isNotNull()).select(F.col(key).alias("k"), F.col(print_).alias("p")).distinct()
+    groups = max(1, -(-rows.count() // block))
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("k"), F.lit(groups)).cast("int"))
+    left = rows.select(F.col("g").alias("i"), F.explode(F.sequence("g", F.lit(groups - 1))).alias("j"), F.col("k").alias("x"), "p")
+    right = rows.select(F.explode(F.sequence(F.lit(0), "g")).alias("i"), F.col("g").alias("j"), F.col("k").alias("y"), F.col("p").alias("q"))
+    once = (F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))
+    bits = scalars.hamming(F.col("p"), F.col("q"))
+    return left.join(right, ["i", "j"]).where(once & (bits <= distance)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), bits.alias("hamming"))
+
+
 def search(df: DataFrame, queries: DataFrame, key: str, print_: str, distance: int, block: int = 4096) -> DataFrame:
     """(query, key, hamming): for each record of a stated query set, all other records within `distance` bits, by comparing with each, for limits beyond what bands can tell apart.
 

@@ -127,8 +127,26 @@ def _print(e: Column) -> Column:
 _PRINT_SQL = "p AS (SELECT vec_id, CAST(list_sum([CASE WHEN embedding[k + 2] > embedding[k + 1] THEN CAST(1 AS BIGINT) << k ELSE 0 END FOR k IN range(0, 63)]) AS BIGINT) AS d, embedding AS e FROM embeddings)"
 
 
-@registry.query(f"WITH {_PRINT_SQL} SELECT x.vec_id AS query, y.vec_id AS key, CAST(bit_count(xor(x.d, y.d)) AS INTEGER) AS hamming FROM p x JOIN p y ON x.vec_id <> y.vec_id WHERE x.vec_id % 100 = 0 AND bit_count(xor(x.d, y.d)) <= 22")
+@registry.query(f"WITH {_PRINT_SQL} SELECT x.vec_id AS a, y.vec_id AS b, CAST(bit_count(xor(x.d, y.d)) AS INTEGER) AS hamming FROM p x JOIN p y ON x.vec_id < y.vec_id WHERE bit_count(xor(x.d, y.d)) <= 16")
 def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs at 16 bits, beyond what bands can tell apart."""
+    prints = table(spark, sf_dir, "embeddings").select("vec_id", _print(F.col("embedding")).alias("d"))
+    return near.all_pairs(prints, "vec_id", "d", 16)
+
+
+@registry.query(f"""WITH {_PRINT_SQL} SELECT x.vec_id AS a, y.vec_id AS b, round(sqrt(list_sum([(x.e[k] - y.e[k]) ** 2 FOR k IN range(1, 65)]) / 64), 4) AS rmse FROM p x JOIN p y ON x.vec_id < y.vec_id
+WHERE bit_count(xor(x.d, y.d)) <= 20 AND sqrt(list_sum([(x.e[k] - y.e[k]) ** 2 FOR k IN range(1, 65)]) / 64) <= 0.14""")
+def rmse_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs, first by bits, then by thumbnail."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    pairs = near.all_pairs(vectors.withColumn("d", _print(F.col("embedding"))), "vec_id", "d", 20)
+    side = lambda k, v: vectors.select(F.col("vec_id").alias(k), F.col("embedding").alias(v))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").withColumn("rmse", scalars.rmse(F.col("x"), F.col("y")))
+    return both.where("rmse <= 0.14").select("a", "b", F.round("rmse", 4).alias("rmse"))
+
+
+@registry.query(f"WITH {_PRINT_SQL} SELECT x.vec_id AS query, y.vec_id AS key, CAST(bit_count(xor(x.d, y.d)) AS INTEGER) AS hamming FROM p x JOIN p y ON x.vec_id <> y.vec_id WHERE x.vec_id % 100 = 0 AND bit_count(xor(x.d, y.d)) <= 22")
+def near_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Searches at 22 bits, beyond what bands can tell apart: every record whose id is divisible by 100 against all."""
     prints = table(spark, sf_dir, "embeddings").select("vec_id", _print(F.col("embedding")).alias("d"))
     return near.search(prints, prints.where("vec_id % 100 = 0"), "vec_id", "d", 22)
@@ -136,8 +154,8 @@ def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query(f"""WITH {_PRINT_SQL} SELECT x.vec_id AS query, y.vec_id AS key, round(sqrt(list_sum([(x.e[k] - y.e[k]) ** 2 FOR k IN range(1, 65)]) / 64), 4) AS rmse FROM p x JOIN p y ON x.vec_id <> y.vec_id
 WHERE x.vec_id % 100 = 0 AND bit_count(xor(x.d, y.d)) <= 26 AND sqrt(list_sum([(x.e[k] - y.e[k]) ** 2 FOR k IN range(1, 65)]) / 64) <= 0.17""")
-def rmse_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First by bits, then by thumbnail."""
+def rmse_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches, first by bits, then by thumbnail."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").withColumn("d", _print(F.col("embedding")))
     pairs = near.search(vectors, vectors.where("vec_id % 100 = 0"), "vec_id", "d", 26)
     side = lambda k, v: vectors.select(F.col("vec_id").alias(k), F.col("embedding").alias(v))
