@@ -107,3 +107,29 @@ def unordered(df: DataFrame, a: str, b: str) -> DataFrame:
 def not_in_baseline(pairs: DataFrame, baseline: DataFrame, a: str, b: str) -> DataFrame:
     """Pairs that the baseline doesn't have in either order."""
     return unordered(pairs, a, b).join(unordered(baseline.select(a, b), a, b).distinct(), [a, b], "left_anti")
+
+
+def members(df: DataFrame, key: str, print_: str) -> DataFrame:
+    """(head, key): the records of each class of equal fingerprints, with the least key of the class."""
+    rows = df.select(key, print_).where(F.col(print_).isNotNull()).distinct()
+    return rows.join(rows.groupBy(print_).agg(F.min(key).alias("head")), print_).select("head", key)
+
+
+def unjudged(df: DataFrame, key: str, print_: str, baseline: DataFrame, a: str, b: str, distance: int = 4) -> DataFrame:
+    """(a, b, hamming, pairs, judged): classes of equal fingerprints, by their heads, near each other and with pairs of records that the baseline doesn't have in either order.
+
+    pairs is how many pairs of records there are between the two classes, or within one, where a = b; judged is how many of them the baseline has. A pair of
+    classes whose pairs are all judged is left out. Which pairs aren't judged follows from `members`, so copies, however many, aren't paired with each other
+    here. A key has one fingerprint; repeated rows count once.
+    """
+    rows = df.select(key, print_).where(F.col(print_).isNotNull()).distinct()
+    classes = rows.groupBy(F.col(print_).alias("p")).agg(F.min(key).alias("head"), F.count("*").alias("n"))
+    within = classes.where("n > 1").select(F.col("head").alias("a"), F.col("head").alias("b"), F.lit(0).alias("hamming"), F.expr("n * (n - 1) div 2").alias("pairs"))
+    side = lambda p, k: classes.select(F.col("p").alias(p), F.col("head").alias(f"h{k}"), F.col("n").alias(f"n{k}"))
+    between = print_pairs(rows, print_, distance).join(side("p", 1), "p").join(side("q", 2), "q")
+    between = between.select(F.least("h1", "h2").alias("a"), F.greatest("h1", "h2").alias("b"), "hamming", (F.col("n1") * F.col("n2")).alias("pairs"))
+    known = unordered(baseline.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y"), "x", "y").distinct()
+    for k in ("x", "y"):
+        known = known.join(members(df, key, print_).select(F.col(key).alias(k), F.col("head").alias(f"h_{k}")), k)
+    judged = known.groupBy(F.least("h_x", "h_y").alias("a"), F.greatest("h_x", "h_y").alias("b")).agg(F.count("*").alias("judged"))
+    return within.unionByName(between).join(judged, ["a", "b"], "left").fillna(0, ["judged"]).where("judged < pairs")

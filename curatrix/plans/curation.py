@@ -183,17 +183,39 @@ def near_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(inputs.images(spark, sf_dir), "image_id", "dhash")
 
 
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a, b) of images whose pair has been judged."""
+    i = inputs.images(spark, sf_dir).select("image_id", "file_name")
+    d = table(spark, sf_dir, "duplicate_review").select(names.bare_name(F.col("file_a")).alias("fa"), names.bare_name(F.col("file_b")).alias("fb"))
+    return d.join(i.select(F.col("file_name").alias("fa"), F.col("image_id").alias("a")), "fa").join(i.select(F.col("file_name").alias("fb"), F.col("image_id").alias("b")), "fb").select("a", "b")
+
+
 @registry.query(
     f"""WITH {_I}, {_NEAR}, d AS (SELECT trim(regexp_replace(file_a, '^.*[/\\\\]', '')) AS fa, trim(regexp_replace(file_b, '^.*[/\\\\]', '')) AS fb FROM duplicate_review),
 base AS (SELECT x.image_id AS a, y.image_id AS b FROM d JOIN images x ON x.file_name = fa JOIN images y ON y.file_name = fb)
 SELECT a, b, hamming FROM np WHERE NOT EXISTS (SELECT 1 FROM base WHERE (base.a = np.a AND base.b = np.b) OR (base.a = np.b AND base.b = np.a))"""
 )
+def new_near_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of near_images that aren't judged pairs themselves; new_near_pairs has the pairs of all images."""
+    return near.not_in_baseline(near_images(spark, sf_dir), _judged(spark, sf_dir), "a", "b").select("a", "b", "hamming")
+
+
+@registry.query(
+    f"""WITH {_I}, im AS (SELECT DISTINCT image_id, dhash, min(image_id) OVER (PARTITION BY dhash) AS head FROM images WHERE dhash IS NOT NULL),
+d AS (SELECT trim(regexp_replace(file_a, '^.*[/\\\\]', '')) AS fa, trim(regexp_replace(file_b, '^.*[/\\\\]', '')) AS fb FROM duplicate_review),
+base AS (SELECT DISTINCT least(x.image_id, y.image_id) AS a, greatest(x.image_id, y.image_id) AS b FROM d JOIN images x ON x.file_name = fa JOIN images y ON y.file_name = fb),
+np AS (SELECT x.image_id AS a, y.image_id AS b, least(x.head, y.head) AS ha, greatest(x.head, y.head) AS hb, CAST(bit_count(xor(x.dhash, y.dhash)) AS INTEGER) AS hamming FROM im x JOIN im y ON x.image_id < y.image_id AND bit_count(xor(x.dhash, y.dhash)) <= 4)
+SELECT ha AS a, hb AS b, hamming, count(*) AS pairs, count(base.a) AS judged FROM np LEFT JOIN base ON base.a = np.a AND base.b = np.b GROUP BY 1, 2, 3 HAVING count(base.a) < count(*)"""
+)
 def new_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near pairs that nobody has judged yet."""
-    i = inputs.images(spark, sf_dir).select("image_id", "file_name")
-    d = table(spark, sf_dir, "duplicate_review").select(names.bare_name(F.col("file_a")).alias("fa"), names.bare_name(F.col("file_b")).alias("fb"))
-    base = d.join(i.select(F.col("file_name").alias("fa"), F.col("image_id").alias("a")), "fa").join(i.select(F.col("file_name").alias("fb"), F.col("image_id").alias("b")), "fb").select("a", "b")
-    return near.not_in_baseline(near_images(spark, sf_dir), base, "a", "b").select("a", "b", "hamming")
+    """Near pairs of images that nobody has judged yet, of all images, by classes of equal fingerprints; near_members has the images of each."""
+    return near.unjudged(inputs.images(spark, sf_dir), "image_id", "dhash", _judged(spark, sf_dir), "a", "b")
+
+
+@registry.query(f"WITH {_I} SELECT min(image_id) OVER (PARTITION BY dhash) AS head, image_id FROM images WHERE dhash IS NOT NULL")
+def near_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The images of each class of equal fingerprints, with its head."""
+    return near.members(inputs.images(spark, sf_dir), "image_id", "dhash")
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:

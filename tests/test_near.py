@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import pytest
 
@@ -36,3 +37,37 @@ def test_pairs_of_all_embeddings(spark, tmp_path):
     for name, want in (("near_pairs", near_), ("rmse_pairs", close)):
         got = [(r["a"], r["b"]) for r in registry.queries()[name](spark, str(tmp_path)).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_unjudged_as_brute_force(spark):
+    rnd = random.Random(6)
+    prints = [0, 0b11, 0b11111, 1 << 40, -1, -1 << 60]
+    rows = {k: rnd.choice(prints) for k in range(40)} | {99: None}
+    near_ = {(a, b) for a, b in combinations(rows, 2) if None not in (rows[a], rows[b]) and bits(rows[a], rows[b]) <= 4}
+    base = [p for p in combinations(rows, 2) if rows[p[0]] == rows[p[1]] == 0 or {rows[p[0]], rows[p[1]]} == {0, 0b11} or rnd.random() < 0.3]
+    base = [p if rnd.random() < 0.5 else p[::-1] for p in base] + base[:50] + [(0, 0), (1000, 1)]
+    judged = {tuple(sorted(p)) for p in base}
+    df, b = spark.createDataFrame([*rows.items(), (0, rows[0])], "id int, d bigint"), spark.createDataFrame(base, "x int, y int")
+    of = {}
+    for head, k in near.members(df, "id", "d").collect():
+        of.setdefault(head, []).append(k)
+    assert all(head == min(ks) for head, ks in of.items()) and sorted(k for ks in of.values() for k in ks) == list(range(40))
+    found = near.unjudged(df, "id", "d", b, "x", "y").collect()
+    spread = []
+    for r in found:
+        all_ = {tuple(sorted(p)) for p in (combinations(of[r["a"]], 2) if r["a"] == r["b"] else ((x, y) for x in of[r["a"]] for y in of[r["b"]]))}
+        assert all_ <= near_ and (r["pairs"], r["judged"]) == (len(all_), len(all_ & judged)) and {bits(rows[x], rows[y]) for x, y in all_} == {r["hamming"]}
+        spread += all_ - judged
+    assert len(spread) == len(set(spread)) and set(spread) == near_ - judged
+    zero, three = (min(k for k in rows if rows[k] == p) for p in (0, 0b11))
+    assert not {(zero, zero), tuple(sorted((zero, three)))} & {(r["a"], r["b"]) for r in found}  # judged whole
+
+
+def test_unjudged_images_whose_heads_are_judged(spark, tmp_path):
+    images = "image_id bigint, file_name string, split string, width int, height int, sha256 string, dhash bigint, original_categories string, dataset_source string"
+    rows = [(k, f"{k}.jpg", "train", 10, 10, None, d, "", "s") for k, d in ((1, 0), (2, 0), (3, 1), (4, 1), (5, 1 << 30), (6, 0b111 << 30))]
+    spark.createDataFrame(rows, images).write.parquet(f"{tmp_path}/source_images.parquet")
+    judged = [("a/1.jpg", "3.jpg"), ("2.jpg", "1.jpg"), ("5.jpg", "6.jpg")]
+    spark.createDataFrame(judged, "file_a string, file_b string").write.parquet(f"{tmp_path}/duplicate_review.parquet")
+    got = {(r["a"], r["b"]) for r in registry.queries()["new_near_pairs"](spark, str(tmp_path)).collect()}
+    assert {(1, 3), (3, 3)} <= got and not {(1, 1), (5, 6)} & got
