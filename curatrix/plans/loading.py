@@ -11,9 +11,15 @@ from .registry import Registry
 
 registry = Registry()
 
+# fields are cut one after the other from the left: a quoted one if a quote stands at its beginning and the next quote at its end, else up to the next separator
 _LINES_SQL = rf"""
-WITH l AS (SELECT DISTINCT line_id, line, list_filter(string_split_regex(line, '[ \t\r]+'), lambda x: x <> '') AS f FROM label_lines),
-k AS (SELECT *, len(list_filter(f, lambda x: contains(x, '"') AND NOT regexp_full_match(x, '"[^"]*"'))) > 0 AS misquoted, list_transform(f, lambda x: CASE WHEN regexp_full_match(x, '"[^"]*"') THEN x[2:-2] ELSE x END) AS v FROM l WHERE len(f) > 0),
+WITH RECURSIVE l AS (SELECT DISTINCT line_id, line, label_file, line_no FROM label_lines WHERE regexp_matches(line, '[^ \t\r]')),
+q AS (SELECT DISTINCT line FROM l WHERE contains(line, '"')),
+w AS (SELECT line, CAST([] AS VARCHAR[]) AS f, ltrim(line, ' ' || chr(9) || chr(13)) AS rest, 0 AS bad FROM q
+  UNION ALL SELECT line, list_append(f, CASE WHEN quoted THEN substr(rest, 2, strpos(substr(rest, 2), '"') - 1) ELSE plain END),
+    ltrim(substr(rest, 1 + CASE WHEN quoted THEN strpos(substr(rest, 2), '"') + 1 ELSE length(plain) END), ' ' || chr(9) || chr(13)), bad + CASE WHEN NOT quoted AND contains(plain, '"') THEN 1 ELSE 0 END
+  FROM (SELECT *, regexp_matches(rest, '^"[^"]*"([ \t\r]|$)') AS quoted, regexp_extract(rest, '^[^ \t\r]+') AS plain FROM w WHERE rest <> '')),
+k AS (SELECT line_id, label_file, line_no, l.line, CASE WHEN w.line IS NULL THEN list_filter(string_split_regex(l.line, '[ \t\r]+'), lambda x: x <> '') ELSE w.f END AS v, coalesce(w.bad, 0) > 0 AS misquoted FROM l LEFT JOIN (SELECT * FROM w WHERE rest = '') w ON w.line = l.line),
 n AS (SELECT *, len(v) = 5 AS five, len(v) = 5 AND regexp_full_match(v[1], '{rejects.WHOLE}') AND len(list_filter(v[2:5], lambda x: NOT regexp_full_match(x, '{rejects.REAL}'))) = 0 AS numeric FROM k),
 d AS (SELECT *, CASE WHEN numeric THEN try_cast(v[1] AS HUGEINT) END AS c, CASE WHEN numeric THEN list_transform(v[2:5], lambda x: try_cast(x AS DOUBLE)) END AS p FROM n),
 r AS (SELECT *, CASE WHEN misquoted THEN 'QUOTING' WHEN NOT five THEN 'COLUMNS' WHEN NOT numeric THEN 'NUMERIC' WHEN NOT coalesce(c BETWEEN 0 AND 3, false) THEN 'CLASS_RANGE'
@@ -22,7 +28,7 @@ r AS (SELECT *, CASE WHEN misquoted THEN 'QUOTING' WHEN NOT five THEN 'COLUMNS'
 
 
 def parsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rejects.parse_lines(table(spark, sf_dir, "label_lines"), "line_id", "line")
+    return rejects.parse_lines(table(spark, sf_dir, "label_lines"), "line_id", "line", source=("label_file", "line_no"))
 
 
 @registry.query(_LINES_SQL + "SELECT line_id, reason FROM r WHERE reason IS NOT NULL")
@@ -30,6 +36,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejects.failed(parsed_lines(spark, sf_dir)).select("line_id", "reason")
 
 
+@registry.query(_LINES_SQL + "SELECT line_id, label_file, line_no, line, reason FROM r WHERE reason IS NOT NULL")
+def p3_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The failed lines with their files and numbers."""
+    return rejects.failed(parsed_lines(spark, sf_dir))
+
+
 @registry.query(_LINES_SQL + "SELECT line_id, CAST(c AS INTEGER) AS class_id, p[1] AS x_center, p[2] AS y_center, p[3] AS width, p[4] AS height FROM r WHERE reason IS NULL")
 def p3_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejects.valid(parsed_lines(spark, sf_dir)).select("line_id", *rejects.FIELDS)
