@@ -64,8 +64,23 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.compact(table(spark, sf_dir, "label_files")).records.select("file_id", "line_no", "class_id")
 
 
-@registry.query()
+@registry.query(
+    _FILES_SQL
+    + """, s AS (SELECT file_id, octet_length(encode(coalesce(content, ''))) AS bytes, sum(octet_length(encode(coalesce(content, '')))) OVER (ORDER BY path, file_id ROWS UNBOUNDED PRECEDING) AS upto FROM l)
+SELECT CAST((upto - bytes) // 16384 AS BIGINT) AS group_no, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes FROM s GROUP BY 1"""
+)
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The size of each group when files of 256 KiB are wanted."""
-    done = compaction.compact(table(spark, sf_dir, "label_files"), target=256 << 10)
+    """The size of each group when files of 16 KiB are wanted, so that small tables have many."""
+    done = compaction.compact(table(spark, sf_dir, "label_files"), target=16 << 10)
     return done.plan.groupBy("group_no").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
+
+
+@registry.query(
+    _FILES_SQL
+    + """, s AS (SELECT file_id, sum(octet_length(encode(coalesce(content, '')))) OVER (ORDER BY path, file_id ROWS UNBOUNDED PRECEDING) - octet_length(encode(coalesce(content, ''))) AS before FROM l)
+SELECT CAST(before // 16384 AS BIGINT) AS group_no, 1 AS files, count(*) AS records FROM s JOIN p USING (file_id) GROUP BY 1"""
+)
+def p4_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that hold the records of each group, as written: one, and how many records are in it."""
+    done = compaction.compact(table(spark, sf_dir, "label_files"), target=16 << 10)
+    return done.records.select("group_no", F.col("_metadata.file_path").alias("file")).groupBy("group_no").agg(F.count_distinct("file").cast("int").alias("files"), F.count("*").alias("records"))
