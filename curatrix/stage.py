@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset, as in tests, one of our own for this session."""
+    """The folder named by spark.checkpoint.dir; where that is unset, as in tests, one of our own for this session, but only if all of Spark runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.curatrix.stage.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="curatrix-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = f"file://{own}"
@@ -45,6 +47,10 @@ class Stages:
         self.paths[id(out)] = (out, path)
         return out
 
+    def keep(self, written: DataFrame, view: DataFrame) -> None:
+        """From now on the written table is known by a view of it."""
+        self.paths[id(view)] = (view, self.paths.pop(id(written))[1])
+
     def drop(self, *dfs: DataFrame | None) -> None:
         for df in dfs:
             if df is not None and (found := self.paths.pop(id(df), None)):
