@@ -233,24 +233,42 @@ def image_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.select("image_id", "split", kind.alias("kind"), F.concat(F.array(feature(F.concat(F.lit("="), kind), 1.0)), F.transform("names", lambda n: feature(n, 0.0025))).alias("features"))
 
 
-SUBSET_SIZE = 4096  # above 3 splits * (2 ** 10 - 1) kinds, so that every kind finds room
+SUBSET_SIZE = 4096  # above 3 splits * (2 ** 10 - 1) kinds, so that every kind finds room; half of the images where they are fewer than twice as many
 
 
-def chosen_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chosen_images(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(image_id, split, kind, features) of the images with a kind, and of the chosen ones."""
     features = Stages(spark).write(image_features(spark, sf_dir), "features")
-    return subset.varied_subset(features, "image_id", "features", SUBSET_SIZE).join(features, "image_id")
+    return features, subset.varied_subset(features, "image_id", "features", min(SUBSET_SIZE, features.count() // 2)).join(features, "image_id")
 
 
-@registry.query("""
+_KINDS_SQL = """
 WITH n AS (SELECT name, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS plain FROM category_names),
 i AS (SELECT DISTINCT image_id, CASE lower(trim(split)) WHEN 'valid' THEN 'val' ELSE lower(trim(split)) END AS split, original_categories AS o FROM source_images),
 x AS (SELECT image_id, split, unnest(string_split_regex(o, '[;,]')) AS c FROM i WHERE split IN ('train', 'val', 'test')),
 k AS (SELECT image_id, split, string_agg(DISTINCT name, ' + ' ORDER BY name) AS kind FROM x JOIN n ON n.plain = trim(regexp_replace(lower(c), '[^a-z0-9]+', ' ', 'g')) GROUP BY ALL)
-SELECT DISTINCT split, kind FROM k""")
+"""
+
+
+@registry.query(_KINDS_SQL + "SELECT DISTINCT split, kind FROM k")
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chosen_images(spark, sf_dir).select("split", "kind").distinct()
+    return chosen_images(spark, sf_dir)[1].select("split", "kind").distinct()
 
 
 @registry.query()
 def p1_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chosen_images(spark, sf_dir).select("image_id")
+    return chosen_images(spark, sf_dir)[1].select("image_id")
+
+
+@registry.query(
+    _KINDS_SQL
+    + f"""SELECT split, count(DISTINCT kind) AS kinds, count(DISTINCT kind) AS covered, true AS fair, CAST((SELECT least({SUBSET_SIZE}, count(*) // 2) FROM k) AS BIGINT) AS chosen FROM k GROUP BY split"""
+)
+def p1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a right choice comes to: every kind is there, all the room is used, and no kind has more than twice as many and one as a kind of which some were left."""
+    every, chosen = chosen_images(spark, sf_dir)
+    have = every.groupBy("split", "kind").agg(F.count("*").alias("all"))
+    got = Stages(spark).write(have.join(chosen.groupBy("split", "kind").agg(F.count("*").alias("got")), ["split", "kind"], "left").fillna(0, ["got"]), "got")
+    whole = got.agg(F.sum("got").alias("chosen"), F.min(F.when(F.col("got") < F.col("all"), F.col("got"))).alias("least"))  # one row
+    by_split = got.groupBy("split").agg(F.count("*").alias("kinds"), F.count_if(F.col("got") > 0).alias("covered"), F.max("got").alias("most"))
+    return by_split.join(F.broadcast(whole)).select("split", "kinds", "covered", F.coalesce(F.col("most") <= 2 * F.col("least") + 1, F.lit(True)).alias("fair"), "chosen")

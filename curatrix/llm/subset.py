@@ -1,9 +1,13 @@
 """Choosing a varied subset (problem 1).
 
 The value of a subset is the sum, over features, of the square root of the mass that its records have of the feature, so each further record of a feature adds
-less. Thresholds descend; in a round, records are added whose marginal gain, given all that other records of the round might take before them, is
-still at least the threshold. Records with equal features are exchangeable: a round decides how many to take of each such class, and at the
-end the records with the least hashes of each class are taken. Nothing but a threshold and a count reaches the driver.
+less. Thresholds descend; in a round, records are added whose marginal gain exceeds the threshold. Records with equal features are exchangeable: a round
+decides how many to take of each such class, and at the end the records with the least hashes of each class are taken.
+
+In a round each class draws a level, one half of the classes 0, a quarter 1, and so on. It adds as many records as gain enough even if all classes of its own and of higher
+levels added before it all that they might. So of classes that share a feature which bears only few more, the one on the highest level goes first, while a feature
+that many records hardly change holds nobody back; the classes that go together double from level to level. What a class needs to know of the others is, for each of
+its features, one sum a level, combined before the shuffle. Nothing but a threshold and counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -12,13 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..stage import Stages
 
 BUCKETS = 4096
+LEVELS = 40
 
 
 def most_added(base: np.ndarray, mass: np.ndarray, starts: np.ndarray, limit: np.ndarray, threshold: float) -> np.ndarray:
@@ -41,48 +45,80 @@ def most_added(base: np.ndarray, mass: np.ndarray, starts: np.ndarray, limit: np
 
 
 FEATURES = "array<struct<feature:string,mass:double>>"
+STATE = f"cls string, n long, taken long, features {FEATURES}, base array<double>, could long"
+
+
+def _flat(b: pa.RecordBatch, column: str) -> np.ndarray:
+    return b.column(column).flatten().to_numpy(zero_copy_only=False)
+
+
+def _starts(b: pa.RecordBatch) -> np.ndarray:
+    offsets = b.column("features").offsets.to_numpy()[: len(b)].astype(np.int64)
+    return offsets - offsets[0]
+
+
+def _masses(b: pa.RecordBatch) -> np.ndarray:
+    return b.column("features").flatten().field("mass").to_numpy(zero_copy_only=False)
 
 
-CARRIED = f"cls string, n long, taken long, features {FEATURES}, could long, leads boolean, best double"
+def _left(b: pa.RecordBatch) -> np.ndarray:
+    return b.column("n").to_numpy() - b.column("taken").to_numpy()
+
+
+def _might(threshold: float):
+    """Rows of STATE with `could`: how many records each class could add, the others adding none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                could = most_added(_flat(b, "base"), _masses(b), _starts(b), _left(b), threshold)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(could)], names=b.schema.names)
+
+    return run
 
 
-def _count(threshold: float):
-    """Rows of CARRIED with limit and base to rows of CARRIED with add: how many more to take, at most limit; `could` and `best`, the gain of one more, are set where could is null."""
+def _add(threshold: float, least: float):
+    """Rows of STATE, with base and `others`, what others might add before, to rows of STATE with add, how many were added, and best, the gain of one more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not len(b):
                 continue
-            base, features, limit = b.column("base"), b.column("features"), b.column("limit").to_numpy()
-            starts = base.offsets.to_numpy()[: len(b)].astype(np.int64)
-            flat, heavy = base.flatten().to_numpy(), features.flatten().field("mass").to_numpy()
-            starts = starts - starts[0]
-            add = pa.array(most_added(flat, heavy, starts, limit, threshold))
-            gain = pa.array(np.where(limit > 0, np.add.reduceat(np.sqrt(flat + heavy) - np.sqrt(flat), starts), 0.0))
-            out = {c: b.column(c) for c in ("cls", "n", "taken", "features", "could", "leads", "best")} | {"add": add}
-            out |= {"could": pc.coalesce(b.column("could"), add), "best": pc.coalesce(b.column("best"), gain)}
-            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+            base, mass, starts = _flat(b, "base"), _masses(b), _starts(b)
+            add = most_added(base + _flat(b, "others"), mass, starts, b.column("could").to_numpy(), least)
+            left = _left(b) - add
+            counts = np.diff(np.append(starts, len(base)))
+            after = base + np.repeat(add, counts) * mass
+            could = most_added(after, mass, starts, left, threshold)
+            best = np.where(left > 0, np.add.reduceat(np.sqrt(after + mass) - np.sqrt(after), starts), 0.0)
+            bases = pa.ListArray.from_arrays(pa.array(np.append(starts, len(base)), pa.int32()), pa.array(after))
+            taken = b.column("taken").to_numpy() + add
+            columns = {"cls": b.column("cls"), "n": b.column("n"), "taken": pa.array(taken), "features": b.column("features"), "base": bases}
+            columns |= {"could": pa.array(could), "add": pa.array(add), "best": pa.array(best)}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
 
-def _counted(state: DataFrame, each: Column, own: Column, limit: Column, threshold: float) -> DataFrame:
-    """Counts against a base: for each feature of a class, the sum of `each` * mass over all classes less `own` * mass. `leads` tells whether the class comes first, for all of its
-    features, among those that could add any."""
-    parts = state.select("cls", each.alias("each"), own.alias("own"), "could", F.posexplode("features").alias("k", "f")).select("cls", "each", "own", "could", "k", "f.feature", "f.mass")
-    sums = parts.groupBy("feature").agg(F.sum(F.col("each") * F.col("mass")).alias("s"), F.min(F.when(F.col("could") > 0, F.col("cls"))).alias("first"))
-    met = parts.join(sums.hint("merge"), "feature").select("cls", F.struct("k", (F.col("s") - F.col("own") * F.col("mass")).alias("s")).alias("b"), F.coalesce(F.col("first") == F.col("cls"), F.lit(False)).alias("lead"))
-    lists = met.groupBy("cls").agg(F.transform(F.array_sort(F.collect_list("b")), lambda x: F.greatest(x["s"], F.lit(0.0))).alias("base"), F.bool_and("lead").alias("lead"))
-    rows = state.join(lists.hint("merge"), "cls").select("cls", "n", "taken", "features", "could", F.col("lead").alias("leads"), "best", limit.alias("limit"), "base")
-    return rows.mapInArrow(_count(threshold), CARRIED + ", add long")
+_PARTS = """
+SELECT cls, n, taken, could, level, k, f.feature, f.mass
+FROM (SELECT *, CAST(floor(-log2((pmod(xxhash64(cls, CAST(%d AS INT)), 1L << %d) + 1) / CAST(1L << %d AS DOUBLE))) AS INT) AS level FROM {might}) LATERAL VIEW posexplode(features) AS k, f"""
+_SUMS = """
+SELECT feature, sum(base) AS base, collect_list(struct(level, may)) AS levels
+FROM (SELECT feature, level, sum(taken * mass) AS base, sum(could * mass) AS may FROM {parts} GROUP BY feature, level) GROUP BY feature"""  # a row a level
+_ROWS = """
+SELECT cls, n, taken, transform(b, x -> struct(x.feature AS feature, x.mass AS mass)) AS features, transform(b, x -> x.base) AS base, transform(b, x -> x.others) AS others, could FROM (
+  SELECT cls, n, taken, could, array_sort(collect_list(struct(k, feature, mass, base,
+    greatest(0D, aggregate(filter(levels, x -> x.level >= level), 0D, (t, x) -> t + x.may) - could * mass) AS others))) AS b
+  FROM (SELECT /*+ MERGE(s) */ p.*, s.base, s.levels FROM {parts} p JOIN {sums} s ON p.feature = s.feature) GROUP BY cls, n, taken, could)"""
 
 
-def _one_by_feature(alone: DataFrame) -> DataFrame:
-    """Of the classes that share their heaviest feature, only the one with the fewest records taken may add in a round; else none of them could be sure of its gain."""
-    heavy = alone.withColumn("heavy", F.array_max(F.transform("features", lambda f: F.struct(f["mass"].alias("mass"), f["feature"].alias("feature"))))["feature"])
-    turn = heavy.where("could > 0").groupBy("heavy").agg(F.min(F.struct("taken", "cls"))["cls"].alias("turn"))
-    mine = heavy.join(turn.hint("merge"), "heavy", "left").withColumn("could", F.when(F.col("turn") == F.col("cls"), F.col("could")).otherwise(0))
-    return mine.drop("heavy", "turn")
+def _round(state: DataFrame, threshold: float, epsilon: float, seed: int) -> DataFrame:
+    """The state after a round. The base kept with a class may lack what others added in the round before; then it only seems to gain more than it does."""
+    spark = state.sparkSession
+    parts = spark.sql(_PARTS % (seed, LEVELS, LEVELS), might=state.mapInArrow(_might(threshold), STATE))
+    rows = spark.sql(_ROWS, parts=parts, sums=spark.sql(_SUMS, parts=parts))
+    return rows.mapInArrow(_add(threshold, threshold * (1 - epsilon)), STATE + ", add long, best double")
 
 
 def _first_of_all(add: DataFrame, wanted: int) -> DataFrame:
@@ -95,47 +131,49 @@ def _first_of_all(add: DataFrame, wanted: int) -> DataFrame:
     return at.withColumn("inside", inside).join(before.hint("merge"), "bucket").select("cls", F.greatest(F.lit(0), F.least("add", left)).alias("add"))
 
 
-def class_counts(classes: DataFrame, size: int, epsilon: float, stages: Stages) -> DataFrame:
-    """(cls, taken): how many records to take of each class (cls, n, features)."""
-    none = [F.lit(None).cast("bigint").alias("could"), F.lit(False).alias("leads"), F.lit(None).cast("double").alias("best")]
-    state = stages.write(classes.select("cls", "n", F.lit(0).cast("bigint").alias("taken"), F.col("features").cast(FEATURES).alias("features"), *none), "state")
-    if size >= (state.agg(F.sum("n")).first()[0] or 0):
-        return state.select("cls", F.col("n").alias("taken"))
-    threshold = state.agg(F.max(F.aggregate("features", F.lit(0.0), lambda g, f: g + F.sqrt(f["mass"])))).first()[0]
-    chosen = 0
+def class_counts(classes: DataFrame, size: int, epsilon: float, stages: Stages) -> tuple[DataFrame, int]:
+    """(cls, taken), how many records to take of each class (cls, n, features), and the number of rounds that took."""
+    blank = [F.lit(0).cast("bigint").alias("taken"), F.col("features").cast(FEATURES).alias("features"), F.transform("features", lambda f: F.lit(0.0)).alias("base"), F.lit(0).cast("bigint").alias("could")]
+    state = stages.write(classes.select("cls", "n", *blank), "state")
+    gain = F.aggregate("features", F.lit(0.0), lambda g, f: g + F.sqrt(f["mass"]))
+    all_, threshold = state.agg(F.sum("n"), F.max(gain)).first()
+    if size >= (all_ or 0):
+        return state.select("cls", F.col("n").alias("taken")), 0
+    chosen = rounds = 0
     while chosen < size:
-        # what each class could add if no other did; then what it can be sure of, the others adding what they could
-        alone = _counted(state, F.col("taken"), F.lit(0), F.col("n") - F.col("taken"), threshold).drop("add")
-        added = stages.write(_counted(_one_by_feature(alone), F.col("taken") + F.col("could"), F.col("could"), F.col("could"), threshold), "added")
-        lone = F.when(F.col("leads"), F.col("could")).otherwise(0)
-        safe, led, best = added.agg(F.sum("add"), F.sum(lone), F.max("best")).first()
-        # if no class is sure of its gain, those that come first for all of their features have no rival among themselves
-        more, got = (F.col("add"), safe) if safe else (lone, led)
-        if got:
-            rows = added.withColumn("add", more)
-            if chosen + got > size:
-                got = size - chosen
-                rows = added.drop("add").join(_first_of_all(rows, got).hint("merge"), "cls")
-            after = stages.write(rows.select("cls", "n", (F.col("taken") + F.col("add")).alias("taken"), "features", *none), "state")
-            stages.drop(state)
-            state, chosen = after, chosen + got
-        stages.drop(added)
-        threshold = threshold * (1 - epsilon) if got else min(threshold * (1 - epsilon), best)
-    return state.where("taken > 0").select("cls", "taken")
+        rounds += 1
+        after = stages.write(_round(state, threshold, epsilon, rounds), "state")
+        got, could, best = after.agg(F.sum("add"), F.sum("could"), F.max("best")).first()
+        if chosen + got > size:
+            clipped = _first_of_all(after.select("cls", "add"), size - chosen).withColumnRenamed("add", "fit")
+            clipped = stages.write(after.join(clipped.hint("merge"), "cls").withColumn("taken", F.col("taken") - F.col("add") + F.col("fit")).drop("fit"), "state")
+            stages.drop(after)
+            after, got = clipped, size - chosen
+        stages.drop(state)
+        state, chosen = after.drop("add", "best"), chosen + got
+        stages.keep(after, state)
+        if not could:
+            threshold = min(threshold * (1 - epsilon), best)
+    return state.where("taken > 0").select("cls", "taken"), rounds
 
 
 def varied_subset(records: DataFrame, ident: str, features: str, size: int, epsilon: float = 0.2, seed: int = 9) -> DataFrame:
     """(ident): a subset of `size` records, or all if there are fewer.
 
-    `features` is an array of struct<feature string, mass double>. Masses that are null or not positive, and null features, don't count; records without any
-    feature come in no subset, nor do null ids; rows that agree in id and features count once. Ties go by hash of id with the seed, so the result is the same in every run.
+    `features` is an array of struct<feature string, mass double>. Masses that are null, not positive or not finite, and null features, don't count; of a feature
+    that a record has more than once the largest mass does; records without any feature come in no subset, nor do null ids; rows that agree in id and features count once. Ties go by hash of id with the seed, so the result is the same in every run.
     """
     stages = Stages(records.sparkSession)
-    known = F.array_sort(F.array_distinct(F.filter(features, lambda f: f["feature"].isNotNull() & (f["mass"] > 0))))
-    src = records.select(F.col(ident).alias("id"), known.alias("features")).where("id IS NOT NULL AND size(features) > 0")
+    proper = F.filter(features, lambda f: f["feature"].isNotNull() & (f["mass"] > 0) & (f["mass"] < float("inf")))  # NaN is above infinity
+    names = F.array_sort(F.array_distinct(F.transform("known", lambda f: f["feature"])))
+    most = lambda name: F.array_max(F.transform(F.filter("known", lambda f: f["feature"] == name), lambda f: f["mass"]))
+    once = F.transform(names, lambda name: F.struct(name.alias("feature"), most(name).cast("double").alias("mass")))
+    src = records.select(F.col(ident).alias("id"), proper.alias("known")).where("id IS NOT NULL AND size(known) > 0").select("id", once.alias("features"))
     rows = stages.write(src.select("id", "features", F.to_json("features").alias("cls")).distinct(), "records")
     classes = stages.write(rows.groupBy("cls").agg(F.count("*").alias("n"), F.any_value("features").alias("features")), "classes")
-    taken = stages.write(class_counts(classes, size, epsilon, stages), "taken")
+    counts, _ = class_counts(classes, size, epsilon, stages)
+    taken = stages.write(counts, "taken")
+    stages.drop(classes)
     # the records of a class by buckets of their hash: whole buckets are taken, and part of one
     hashed = rows.select("id", "cls", F.xxhash64("id", F.lit(seed)).alias("h")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
     sums = hashed.groupBy("cls", "bucket").agg(F.count("*").alias("c")).join(taken.hint("merge"), "cls")

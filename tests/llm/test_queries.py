@@ -21,7 +21,7 @@ def test_query_as_its_sql(spark, con, name):
 def test_chosen_images_are_of_the_size_wanted(spark):
     rows = queries.p1_chosen(spark, oracle.DATA).collect()
     images = queries.image_features(spark, oracle.DATA).count()
-    assert len(rows) == len(set(rows)) == min(queries.SUBSET_SIZE, images)
+    assert len(rows) == len(set(rows)) == min(queries.SUBSET_SIZE, images // 2) > 0
 
 
 def test_related_images_share_a_split(spark):

@@ -1,7 +1,8 @@
 import math
 import random
 
-from curatrix.llm.subset import varied_subset
+from curatrix.llm.subset import class_counts, varied_subset
+from curatrix.stage import Stages
 
 SCHEMA = "id bigint, features array<struct<feature:string,mass:double>>, cls string, taken int"
 
@@ -54,3 +55,35 @@ def test_all_none_and_odd_rows(spark):
     odd = [(1, [("a", 1.0)]), (2, None), (3, []), (4, [("a", None), (None, 1.0), ("b", -1.0)]), (None, [("a", 1.0)]), (5, [("b", 2.0), ("b", 2.0)])]
     assert sorted(run(spark, odd, 10)) == [1, 5]
     assert run(spark, [], 10) == [] and run(spark, odd, 0) == []
+
+
+def greedy(rows, size):
+    left, mass, total = dict(rows), {}, 0.0
+    gain = lambda i: sum(math.sqrt(mass.get(f, 0) + m) - math.sqrt(mass.get(f, 0)) for f, m in left[i])
+    for _ in range(size):
+        best = max(left, key=gain)
+        total += gain(best)
+        for f, m in left.pop(best):
+            mass[f] = mass.get(f, 0) + m
+    return total
+
+
+def test_classes_that_share_features(spark):
+    """No two records alike, a feature that all of them have, and others that many have."""
+    rnd = random.Random(5)
+    rows = [(i, [("all", 1.0), *((f"w{w}", rnd.choice([1.0, 2.0])) for w in {min(int(rnd.paretovariate(0.7)), 300) for _ in range(5)}), (f"own{i}", 0.001)]) for i in range(200)]
+    features = dict(rows)
+    chosen = run(spark, rows, 30)
+    assert len(set(chosen)) == 30 and value([features[i] for i in chosen]) >= 0.95 * greedy(rows, 30)
+
+
+def test_few_rounds_where_classes_share_their_heaviest_feature(spark):
+    classes = spark.createDataFrame([(f"c{k}", 30, [("shared", 1.0), (f"own{k}", 0.0001)]) for k in range(8)], "cls string, n long, features array<struct<feature:string,mass:double>>")
+    taken, rounds = class_counts(classes, 160, 0.2, Stages(spark))
+    assert sum(r["taken"] for r in taken.collect()) == 160 and 0 < rounds < 60
+
+
+def test_masses_that_are_no_numbers(spark):
+    odd = [(1, [("a", float("nan"))]), (2, [("a", 1.0)]), (3, [("b", float("inf")), ("c", 1.0)]), (4, [("c", 1.0)]), (5, [("c", 1.0), ("c", 0.5)])]
+    assert sorted(run(spark, odd, 10)) == [2, 3, 4, 5]
+    assert run(spark, odd, 2)[0] in (2, 3, 4, 5)
