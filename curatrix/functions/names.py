@@ -24,11 +24,26 @@ def suffix(path: Column) -> Column:
 
 
 def split_name(split: Column) -> Column:
-    s = F.lower(F.trim(split))
+    s = F.lower(F.regexp_replace(split, r"^\s+|\s+$", ""))
     s = F.when(s == "valid", "val").otherwise(s)
     return F.when(s.isin(*SPLITS), s)
 
 
+def sha_digits(sha: Column) -> Column:
+    """The 64 hexadecimal digits in lower case, however they are written; null if there aren't 64.
+
+    A name of the hash before them, `0x`, blanks and signs between them, their case and their width don't matter.
+    """
+    narrow = F.lower(F.translate(sha, "０１２３４５６７８９ａｂｃｄｅｆＡＢＣＤＥＦ", "0123456789abcdefabcdef"))
+    digits = F.regexp_replace(F.regexp_replace(narrow, r"^[^0-9a-z]*(sha[^0-9a-z]*(2[^0-9a-z]*)?256)?[^0-9a-z]*(0x)?", ""), r"[^0-9a-z]", "")
+    return F.coalesce(F.when(digits.rlike("^[0-9a-f]{64}$"), digits), F.nullif(F.regexp_extract(narrow, r"(?<![0-9a-z])([0-9a-f]{64})(?![0-9a-z])", 1), F.lit("")))
+
+
+def plain_words(text: Column) -> Column:
+    """Words in lower case with single blanks between them: the sign between words makes no difference."""
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+
+
 def split_priority(split: Column) -> Column:
     rank = F.lit(0)
     for name, value in PRIORITY.items():

@@ -49,7 +49,7 @@ p AS (SELECT DISTINCT prediction_id, trim(regexp_replace(lower(raw_class_name),
 SELECT coalesce(class_id, -1) AS class_id, count(*) AS predictions FROM p LEFT JOIN n USING (plain) GROUP BY 1""")
 def prediction_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions by the class that their raw name stands for; -1 is out of scope."""
-    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    plain = names.plain_words
     mapping = table(spark, sf_dir, "category_names").where("class_id IS NOT NULL").select(plain(F.col("name")).alias("source_name"), "class_id", "class_name").distinct()
     raw = table(spark, sf_dir, "canonical_predictions").select("prediction_id", plain(F.col("raw_class_name")).alias("raw")).distinct()
     inside, outside = preparation.split_by_scope(raw, "raw", mapping)

@@ -14,10 +14,9 @@ CLASSES = (0, 1, 2, 3)
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, file_name, stem, split, width, height, sha, dhash, source) with each image once; split null where it isn't known."""
     i = table(spark, sf_dir, "source_images")
-    sha = F.nullif(F.regexp_extract(F.lower("sha256"), "([0-9a-f]{64})", 1), F.lit(""))
     return i.select(
         "image_id", names.bare_name(F.col("file_name")).alias("file_name"), names.stem(F.col("file_name")).alias("stem"), names.split_name(F.col("split")).alias("split"),
-        "width", "height", sha.alias("sha"), "dhash", F.col("dataset_source").alias("source"), "original_categories",
+        "width", "height", names.sha_digits(F.col("sha256")).alias("sha"), "dhash", F.col("dataset_source").alias("source"), "original_categories",
     ).distinct()
 
 
@@ -27,7 +26,7 @@ IMAGES = """images AS (SELECT DISTINCT image_id, file_name, regexp_extract(file_
 
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, split, name, class_id): the source categories of each image, each once."""
-    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    plain = names.plain_words
     known = table(spark, sf_dir, "category_names").select("name", "class_id", plain(F.col("name")).alias("plain"))
     words = images(spark, sf_dir).select("image_id", "split", F.explode(F.split("original_categories", "[;,]")).alias("word"))
     return words.select("image_id", "split", plain(F.col("word")).alias("plain")).join(F.broadcast(known), "plain").select("image_id", "split", "name", "class_id").distinct()  # a fixed list

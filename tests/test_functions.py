@@ -86,3 +86,15 @@ def test_names(spark):
     key, rest = names.key_parts(F.lit("train/a/b"))
     r = spark.range(1).select(key.alias("k"), rest.alias("r"), names.append_note(F.lit(""), F.lit("n")).alias("a"), names.append_note(F.lit("m"), F.lit("n")).alias("b"), names.numbered("D", F.lit(7)).alias("d"), names.numbered("D", F.lit(12345)).alias("e")).first()
     assert tuple(r) == ("train", "a/b", "n", "m | n", "D007", "D12345")
+
+
+def test_hashes_however_written(spark):
+    h = "0123456789abcdef" * 4
+    wide = h.translate({ord(c): ord(c) + 0xFEE0 for c in "0123456789abcdef"})
+    pairs = "-".join(h[k : k + 2] for k in range(0, 64, 2))
+    same = [h, h.upper(), f"sha256:{h}", f" SHA-256 = {h.upper()}\n", f"SHA2-256({h})", f"sha256 {h}", f"0x{h}", pairs, pairs.replace("-", ":"), f"{h[:32]} {h[32:]}", wide, f"\xa0{h}\u3000", f"{h}  a/b.jpg", f"sha256-{pairs}", f'"{h}"']
+    other = [None, "", h[:63], h + "0", "g" + h[1:], "sha256:", f"sha256:{h}{h}", f"x{h}"]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(same + other)], "k int, v string")
+    got = {r["k"]: r["s"] for r in df.select("k", names.sha_digits(F.col("v")).alias("s")).collect()}
+    assert [got[k] for k in range(len(same) + len(other))] == [h] * len(same) + [None] * len(other)
+    assert df.limit(1).select(names.split_name(F.lit("\tVALID\n")).alias("s")).first()["s"] == "val"
