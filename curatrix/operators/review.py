@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..stage import Stages
-from . import preparation
+from . import contraction, preparation
 
 
 def difference(items_a: Column, items_b: Column) -> Column:
@@ -38,23 +38,23 @@ def mismatched_metadata(reviewed: DataFrame, metadata: DataFrame, sides: list[st
 def connected(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): root is the least node that a chain of pairs leads to.
 
-    Each node keeps the least label seen in its neighbourhood; labels then jump to their own label's label, so chains shorten fast. Both steps
-    are aggregates combined before the shuffle.
+    In each step every node moves into the one of least hash among itself and its neighbours; steps go on over the links between those, so links and nodes
+    grow fewer by a factor a step. What a node needs to know of its neighbours is a minimum, combined before the shuffle.
     """
     stages = Stages(pairs.sparkSession)
-    links = pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    links = stages.write(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
-    labels = stages.write(links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")), "labels")
-    while True:
-        near = links.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("l").alias("m"))
-        hooked = labels.join(near, "u").select("u", "l", F.least("l", "m").alias("m"))
-        # a label that learns of a lower one takes everybody who wears it along
-        lower = hooked.groupBy(F.col("l").alias("w")).agg(F.min("m").alias("n"))
-        after = stages.write(hooked.join(lower, F.col("l") == F.col("w")).select("u", F.least("m", "n").alias("l"), (F.least("m", "n") < F.col("l")).alias("changed")), "labels")
-        stages.drop(labels)
-        labels = after
-        if labels.where("changed").isEmpty():
-            return labels.select(F.col("u").alias("node"), F.col("l").alias("root"))
+    first = links = stages.write(contraction.clean_pairs(pairs.select(F.col(a).alias("x"), F.col(b).alias("y")), "x", "y"), "links")
+    levels: list[tuple[DataFrame, int]] = []
+    while not links.isEmpty():
+        seed = len(levels)
+        least = contraction.both_ways(links).groupBy("src").agg(F.expr(f"min(struct(xxhash64(dst, {seed}) AS h, dst AS node))").alias("m"))
+        moved = least.where(f"m < struct(xxhash64(src, {seed}) AS h, src AS node)").selectExpr("src AS node", "m.node AS center")
+        moved = stages.write(moved, "moved")
+        levels.append((moved, moved.count()))
+        inner = stages.write(contraction.contract(links, *levels[-1]), "links")
+        if links is not first:
+            stages.drop(links)
+        links = inner
+    return contraction.roots(first, levels, stages)
 
 
 def group_table(members: DataFrame, root: str, split: str) -> DataFrame:
