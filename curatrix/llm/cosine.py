@@ -9,6 +9,7 @@ so lists of what remains meet term by term; exact dot products of the whole vect
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,53 +37,81 @@ def cosine_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
 
     Ids, of any one type a side, name vectors; rows with nulls or weights that aren't positive and finite don't count. An empty side gives no rows.
     """
+    as_array = lambda side: _unit(side).groupBy("id").agg(F.collect_list(F.struct("term", "w")).alias("v"))
+    return join_vectors(as_array(left), as_array(right), threshold)
+
+
+def join_vectors(left: DataFrame, right: DataFrame, threshold: float, keep: Column | None = None) -> DataFrame:
+    """As cosine_join, from rows (id, v array<struct<term, w>>) of length 1, a vector each. `keep` is an exact condition on left_id and right_id that a pair has to meet besides.
+
+    If the product of the least weights reaches the threshold, any one common term does: then no term can be left out of the lists, and what meets in
+    them adds up to the whole product. Else the bounds decide what is listed, and products of whole vectors are taken of the pairs that meet.
+    """
     if threshold <= 0:
         raise ValueError("the threshold must be above 0")
     stages = Stages(left.sparkSession)
-    sides = [stages.write(_unit(x), "vectors") for x in (left, right)]
+    vectors = [stages.write(x, "vectors") for x in (left, right)]
+    keep = F.lit(True) if keep is None else keep
+    sides = [x.select("id", F.inline("v")) for x in vectors]
+    least = [x.agg(F.min(F.array_min(F.transform("v", lambda t: t["w"])))).first()[0] or 0.0 for x in vectors]
+    if least[0] * least[1] >= threshold - 1e-9:
+        lists = [x.withColumnRenamed("id", f"{name}_id").withColumnRenamed("w", f"w{k}") for k, (x, name) in enumerate(zip(sides, ("left", "right")))]
+        met = lists[0].join(lists[1], "term").where(keep)
+        return met.groupBy("left_id", "right_id").agg(F.sum(F.col("w0") * F.col("w1")).alias("cosine")).where(F.col("cosine") >= threshold - 1e-9)
     seen = [x.groupBy("term").agg(F.count("*").alias(f"n{k}"), F.max("w").alias(f"most{k}")) for k, x in enumerate(sides)]
     terms = seen[0].join(seen[1], "term").withColumn("df", F.col("n0") + F.col("n1"))  # a term on one side only adds nothing to any product
     lists = [_listed(sides[0], terms, "most1", threshold), _listed(sides[1], terms, "most0", threshold)]
-    met = lists[0].withColumnRenamed("id", "left_id").join(lists[1].withColumnRenamed("id", "right_id"), "term").select("left_id", "right_id").distinct()
-    whole = [x.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias(f"v{k}")) for k, x in enumerate(sides)]
+    met = lists[0].withColumnRenamed("id", "left_id").join(lists[1].withColumnRenamed("id", "right_id"), "term").where(keep).select("left_id", "right_id").distinct()
+    whole = [x.select("id", F.map_from_entries("v").alias(f"v{k}")) for k, x in enumerate(vectors)]
     both = met.join(whole[0].withColumnRenamed("id", "left_id"), "left_id").join(whole[1].withColumnRenamed("id", "right_id"), "right_id")
     product = F.aggregate(F.map_entries("v0"), F.lit(0.0), lambda total, e: total + e["value"] * F.coalesce(F.try_element_at(F.col("v1"), e["key"]), F.lit(0.0)))
     return both.select("left_id", "right_id", product.alias("cosine")).where(F.col("cosine") >= threshold - 1e-9)
 
 
-def bit_terms(prints: DataFrame, bits: int = 64, distance: int = 4, agreeing: int = 2) -> tuple[DataFrame, float]:
-    """Vectors of fingerprints, and the cosine that any two with at most `distance` different bits reach.
+def bit_vectors(prints: DataFrame, bits: int = 64, distance: int = 4, agreeing: int = 2) -> tuple[DataFrame, float]:
+    """Vectors (id, v) of fingerprints, each once, and the cosine that any two with at most `distance` different bits reach.
 
-    The bits are cut into distance + agreeing blocks; each choice of `agreeing` blocks with its bits is a term, all of weight 1. Of two
-    such fingerprints at least `agreeing` blocks are equal, so they share a term. More agreeing blocks make terms longer and more: with
-    the default, 15 terms of 20 to 22 bits.
+    The bits are cut into distance + agreeing blocks; each choice of `agreeing` blocks with its bits is a term, all of equal weight. Of two
+    such fingerprints at least `agreeing` blocks are equal, so they share a term. More agreeing blocks make terms longer and more: 5 terms of 12 or 13 bits, 15 of 20 to 22,
+    35 of 27 to 28.
     """
     parts = distance + agreeing
     edges = [round(bits * k / parts) for k in range(parts + 1)]
-    block = [F.shiftrightunsigned("id", lo).bitwiseAND((1 << (hi - lo)) - 1) for lo, hi in zip(edges, edges[1:])]
+    block = [f"(shiftrightunsigned(id, {lo}) & {(1 << (hi - lo)) - 1}L)" for lo, hi in zip(edges, edges[1:])]
     choices = list(combinations(range(parts), agreeing))
 
-    def term(number: int, chosen: tuple[int, ...]) -> Column:
-        value = F.lit(number).cast("bigint")
+    def term(number: int, chosen: tuple[int, ...]) -> str:
+        value = f"{number}L"
         for k in chosen:
-            value = F.shiftleft(value, edges[k + 1] - edges[k]).bitwiseOR(block[k])
+            value = f"(shiftleft({value}, {edges[k + 1] - edges[k]}) | {block[k]})"
         return value
 
-    rows = prints.select("id", F.explode(F.array(*(term(n, c) for n, c in enumerate(choices)))).alias("term")).withColumn("weight", F.lit(1.0))
-    return rows, 1.0 / len(choices)
+    terms = ", ".join(f"named_struct('term', {term(n, c)}, 'w', {len(choices) ** -0.5!r}D)" for n, c in enumerate(choices))
+    return prints.selectExpr("id", f"array({terms}) AS v"), 1.0 / len(choices)
 
 
 def equal_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """(left_id, right_id) of equal values, each a vector of one term."""
-    one = lambda d: d.select(F.col("id"), F.col("id").alias("term"), F.lit(1.0).alias("weight"))
-    return cosine_join(one(left), one(right), 1.0).select("left_id", "right_id")
+    one = lambda d: d.select("id", F.array(F.struct(F.col("id").alias("term"), F.lit(1.0).alias("w"))).alias("v"))
+    return join_vectors(one(left), one(right), 1.0).select("left_id", "right_id")
+
+
+def best_agreeing(left: int, right: int, distance: int, bits: int = 64) -> int:
+    """How many blocks a term should have for so many fingerprints: what is listed, each some eight times as costly, and what meets by chance add up to the least."""
+
+    def cost(agreeing: int) -> float:
+        terms = comb(distance + agreeing, agreeing)
+        return terms * (8.0 * (left + right) + left * right * 2.0 ** (-bits * agreeing / (distance + agreeing)))
+
+    return min(range(1, 6), key=cost)
 
 
-def near_pairs(left: DataFrame, right: DataFrame, distance: int = 4) -> DataFrame:
-    """(left_id, right_id) of 64-bit values that differ in at most `distance` bits; the exact count of bits decides."""
-    terms, least = bit_terms(left, distance=distance)
-    other, _ = bit_terms(right, distance=distance)
-    return cosine_join(terms, other, least).where(F.bit_count(F.col("left_id").bitwiseXOR(F.col("right_id"))) <= distance).select("left_id", "right_id")
+def near_pairs(left: DataFrame, right: DataFrame, distance: int = 4, agreeing: int | None = None) -> DataFrame:
+    """(left_id, right_id) of 64-bit values, each once a side, that differ in at most `distance` bits; the exact count of bits decides."""
+    agreeing = agreeing or best_agreeing(left.count(), right.count(), distance)
+    vectors, least = bit_vectors(left, distance=distance, agreeing=agreeing)
+    other, _ = bit_vectors(right, distance=distance, agreeing=agreeing)
+    return join_vectors(vectors, other, least, F.bit_count(F.col("left_id").bitwiseXOR(F.col("right_id"))) <= distance).select("left_id", "right_id")
 
 
 def split_overlaps(records: DataFrame, ident: str, split: str, exact: str, prints: str, train: str = "train", distance: int = 4) -> DataFrame:
@@ -92,10 +121,11 @@ def split_overlaps(records: DataFrame, ident: str, split: str, exact: str, print
     null, or whose value is, take no part in that; repeated rows count once. `how` is exact if the exact values agree, else near.
     """
     r = records.select(F.col(ident).alias("r"), (F.col(split) == train).alias("t"), F.col(exact).alias("exact"), F.col(prints).alias("near")).where("r IS NOT NULL AND t IS NOT NULL").distinct()
+    stages = Stages(records.sparkSession)
     found = []
     for name, join in (("exact", equal_pairs), ("near", lambda a, b: near_pairs(a, b, distance))):
         have = r.select("r", "t", F.col(name).alias("id")).dropna().distinct()
-        values = [have.where("t" if t else "NOT t").select("id").distinct() for t in (False, True)]
+        values = [stages.write(have.where("t" if t else "NOT t").select("id").distinct(), "values") for t in (False, True)]
         pairs = join(*values)
         held = have.where("NOT t").select(F.col("r").alias("held_out"), F.col("id").alias("left_id"))
         inside = have.where("t").select(F.col("r").alias("training"), F.col("id").alias("right_id"))

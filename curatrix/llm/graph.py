@@ -12,70 +12,64 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.contraction import both_ways, clean_pairs, contract, roots, small
 from ..stage import Stages
 
 
-def clean_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, b), a < b, each once."""
-    p = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def decompose(links: DataFrame, beta: float, seed: int, stages: Stages) -> tuple[DataFrame, int]:
+    """(node, center) of the vertices that a cluster of another takes in, and their number: one low-diameter decomposition of links (a, b).
 
-
-def _both_ways(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst")))
-
-
-def decompose(pairs: DataFrame, beta: float, seed: int, stages: Stages) -> DataFrame:
-    """(node, center): one low-diameter decomposition.
-
-    Each vertex draws a head start from the exponential distribution with rate beta. A cluster grows from its center one link a round,
-    beginning at minus the head start; a vertex joins the cluster that reaches it first. Rounds end when no vertex changes its cluster, after
+    Each vertex draws a head start from the exponential distribution with rate beta, a function of the vertex and the seed. A cluster grows from its center one link a
+    round, beginning at minus the head start; a vertex joins the cluster that reaches it first. Rounds end when no vertex changes its cluster, after
     as many as the widest cluster has links from its center, which with high probability is O(log n / beta). Each link joins two clusters
-    with a probability of at most about beta.
+    with a probability of at most about beta. A round goes from the vertices that changed in the one before, meets their links only and writes only what changes.
     """
-    links = _both_ways(pairs)
-    drawn = (F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    reached = stages.write(links.select(F.col("src").alias("node")).distinct().select("node", F.struct((F.log(drawn) / beta).alias("at"), F.col("node").alias("center")).alias("by")), "reached")
-    fresh = reached
+    start = lambda node: f"log((pmod(xxhash64({node}, {seed}), {1 << 52}L) + 0.5D) / {1 << 52}D) / {beta}D"
+    each = both_ways(links)
+    offers = each.selectExpr("dst AS node", f"struct({start('src')} + 1 AS at, src AS center) AS by")
+    changes: list[DataFrame] = []
+    total = 0
     while True:
-        near = links.join(fresh.hint("merge"), fresh["node"] == links["src"]).select(F.col("dst").alias("node"), F.struct((F.col("by.at") + 1).alias("at"), F.col("by.center").alias("center")).alias("by"))
-        offers = near.groupBy("node").agg(F.min("by").alias("offer"))
-        news = reached.join(offers.hint("merge"), "node", "left").select("node", F.least("by", "offer").alias("by"), F.coalesce(F.col("offer") < F.col("by"), F.lit(False)).alias("new"))
-        after = stages.write(news, "reached")
-        stages.drop(reached)
-        reached = after
-        fresh = reached.where("new")
-        if fresh.isEmpty():
-            return reached.select("node", F.col("by.center").alias("center"))
+        news = offers.groupBy("node").agg(F.min("by").alias("by")).where(f"by < struct({start('node')} AS at, node AS center)")
+        if changes:
+            before = changes[0]
+            for more in changes[1:]:
+                before = before.unionByName(more)
+            known = before.groupBy("node").agg(F.min("by").alias("known"))
+            news = news.join(small(known, total), "node", "left").where("known IS NULL OR by < known").select("node", "by")
+        fresh = stages.write(news, "reached")
+        n = fresh.count()
+        changes.append(fresh)
+        if n == 0:
+            break
+        total += n
+        offers = each.join(small(fresh.selectExpr("node AS src", "by"), n), "src").selectExpr("dst AS node", "struct(by.at + 1 AS at, by.center AS center) AS by")
+    every = changes[0]
+    for more in changes[1:]:
+        every = every.unionByName(more)
+    moved = stages.write(every.groupBy("node").agg(F.min("by").alias("by")).selectExpr("node", "by.center AS center"), "moved")
+    stages.drop(*changes)
+    return moved, moved.count()
 
 
 def components(pairs: DataFrame, a: str = "a", b: str = "b", beta: float = 0.3, seed: int = 7) -> DataFrame:
-    """(node, root) by low-diameter decomposition: decompose, contract clusters to vertices, recurse on the links between clusters."""
+    """(node, root) by low-diameter decomposition: decompose, contract clusters to vertices, recurse on the links between clusters, compose the assignments."""
     stages = Stages(pairs.sparkSession)
-    links = stages.write(clean_pairs(pairs, a, b), "links")
-    levels: list[DataFrame] = []
+    first = links = stages.write(clean_pairs(pairs.select(F.col(a).alias("x"), F.col(b).alias("y")), "x", "y"), "links")
+    levels: list[tuple[DataFrame, int]] = []
     while not links.isEmpty():
-        cluster = stages.write(decompose(links, beta, seed + len(levels), stages), "cluster")
-        levels.append(cluster)
-        one = links.join(cluster.select(F.col("node").alias("a"), F.col("center").alias("ca")).hint("merge"), "a")
-        two = one.join(cluster.select(F.col("node").alias("b"), F.col("center").alias("cb")).hint("merge"), "b")
-        inner = stages.write(clean_pairs(two.select("ca", "cb"), "ca", "cb"), "links")
-        stages.drop(links)
+        levels.append(decompose(links, beta, seed + len(levels), stages))
+        inner = stages.write(contract(links, *levels[-1]), "links")
+        if links is not first:
+            stages.drop(links)
         links = inner
-    if not levels:
-        return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    top = levels[-1]
-    for below in reversed(levels[:-1]):
-        up = top.select(F.col("node").alias("center"), F.col("center").alias("higher"))
-        top = stages.write(below.join(up.hint("merge"), "center", "left").select("node", F.coalesce("higher", "center").alias("center")), "composed")
-    least = top.groupBy("center").agg(F.min("node").alias("root"))
-    return top.join(least, "center").select("node", "root")
+    return roots(first, levels, stages)
 
 
 def star_components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) by alternating large-star and small-star steps until the links no longer change."""
     stages = Stages(pairs.sparkSession)
-    links = stages.write(clean_pairs(pairs, a, b), "links")
+    links = stages.write(clean_pairs(pairs.select(F.col(a).alias("x"), F.col(b).alias("y")), "x", "y"), "links")
     before = None
     while True:
         state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -83,7 +77,7 @@ def star_components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return links.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
         before = state
         # large star: every neighbour above a vertex links to the least of the vertex and its neighbours
-        least = _both_ways(links).groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("a"), F.least("src", "m").alias("m"))
+        least = both_ways(links).groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("a"), F.least("src", "m").alias("m"))
         large = clean_pairs(links.join(least.hint("merge"), "a"), "b", "m")
         # small star: every neighbour below a vertex, and the vertex, link to the least of them
         lowest = large.groupBy("b").agg(F.min("a").alias("m"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..plans.registry import Registry
 from ..stage import Stages, table
-from . import cosine, graph, mixing, names, packing, spans, splits, subset, tokens, topn
+from . import cosine, graph, mixing, packing, spans, splits, subset, tokens, topn
 
 registry = Registry()
 queries = registry.queries
@@ -222,7 +223,7 @@ def image_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     With ten names there are at most 10 such weights: a present kind gains at most 0.42 + 10 * 0.05 from one more image, an absent one at least 1.
     """
-    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    plain = names.plain_words
     known = F.broadcast(table(spark, sf_dir, "category_names").select("name", plain(F.col("name")).alias("plain")))  # a fixed list
     images = table(spark, sf_dir, "source_images").select("image_id", names.split_name(F.col("split")).alias("split"), "original_categories").where("split IS NOT NULL").distinct()
     each = images.select("image_id", "split", F.explode(F.split("original_categories", "[;,]")).alias("word"))

@@ -42,6 +42,24 @@ def test_empty_sides_and_threshold(spark):
         cosine.cosine_join(vectors(spark, []), vectors(spark, []), 0)
 
 
+@pytest.mark.parametrize("agreeing", [1, 2, 3])
+def test_near_values_whatever_the_blocks(spark, agreeing):
+    rnd = random.Random(12)
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+    base = [rnd.getrandbits(64) for _ in range(6)] + [0, 2**64 - 1]
+    values = set()
+    for _ in range(120):
+        v = rnd.choice(base)
+        for bit in rnd.sample(range(64), rnd.randint(0, 5)):
+            v ^= 1 << bit
+        values.add(signed(v))
+    left, right = sorted(values)[::2], sorted(values)[1::2] + sorted(values)[:9]
+    df = lambda rows: spark.createDataFrame([(v,) for v in dict.fromkeys(rows)], "id bigint")
+    got = {(r["left_id"], r["right_id"]) for r in cosine.near_pairs(df(left), df(right), 4, agreeing).collect()}
+    assert got == {(a, b) for a in left for b in right if ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
+    assert cosine.best_agreeing(1000, 1000, 4) < cosine.best_agreeing(10**9, 10**9, 4)
+
+
 def test_overlaps_of_splits(spark):
     rnd = random.Random(10)
     base = [rnd.getrandbits(64) for _ in range(12)]

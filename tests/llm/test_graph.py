@@ -3,6 +3,7 @@ import random
 import pytest
 
 from curatrix.llm import graph, splits
+from curatrix.operators import contraction
 
 
 def union_find(pairs):
@@ -35,6 +36,12 @@ def test_components(spark, how):
     assert {r["node"]: r["root"] for r in how(df).collect()} == union_find(pairs)
 
 
+def test_components_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(contraction, "BROADCAST_ROWS", -1)
+    pairs = graph_rows()
+    assert {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(pairs, "a string, b string")).collect()} == union_find(pairs)
+
+
 @pytest.mark.parametrize("how", [graph.components, graph.star_components])
 def test_no_pairs(spark, how):
     assert how(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
@@ -44,9 +51,10 @@ def test_clusters_are_connected_and_cover(spark):
     from curatrix.stage import Stages
 
     pairs = [(k, k + 1) for k in range(40)]
-    rows = graph.decompose(graph.clean_pairs(spark.createDataFrame(pairs, "a bigint, b bigint"), "a", "b"), 0.3, 1, Stages(spark)).collect()
-    center = {r["node"]: r["center"] for r in rows}
-    assert set(center) == set(range(41))
+    moved, n = graph.decompose(graph.clean_pairs(spark.createDataFrame(pairs, "a bigint, b bigint"), "a", "b"), 0.3, 1, Stages(spark))
+    rows = moved.collect()
+    center = {k: k for k in range(41)} | {r["node"]: r["center"] for r in rows}
+    assert set(center) == set(range(41)) and len(rows) == n > 0 and all(r["node"] != r["center"] for r in rows)
     for node, c in center.items():  # on a path, whatever lies between a node and its center belongs to it
         assert all(center[k] == c for k in range(min(node, c), max(node, c) + 1))
 
