@@ -79,7 +79,7 @@ TINY_SIDE, TINY_AREA, LARGE_AREA, BOUNDARY_GAP, THIN_RATIO = 4.0, 1e-4, 0.25, 0.
 
 
 def outlier_flags(bbox: Column, width: Column, height: Column) -> Column:
-    """The flags that apply, in this order: TINY, LARGE, BOUNDARY, THIN. The limits of TINY and LARGE are exclusive, the others inclusive."""
+    """The flags that apply, in this order: TINY, LARGE, BOUNDARY, THIN_ASPECT. The limits of TINY and LARGE are exclusive, the others inclusive."""
     _, _, w, h = parts(bbox)
     area = w * h / (width * height)
     ratio = F.greatest(F.try_divide(w, h), F.try_divide(h, w))
@@ -88,7 +88,7 @@ def outlier_flags(bbox: Column, width: Column, height: Column) -> Column:
             F.when((F.least(w, h) < TINY_SIDE) | (area < TINY_AREA), "TINY"),
             F.when(area > LARGE_AREA, "LARGE"),
             F.when(edge_gap(bbox, width, height) <= BOUNDARY_GAP, "BOUNDARY"),
-            F.when(ratio >= THIN_RATIO, "THIN"),
+            F.when(ratio >= THIN_RATIO, "THIN_ASPECT"),
         )
     )
 

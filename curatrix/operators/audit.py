@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..stage import Stages
 from . import preparation
 
 # fixed values: the points of a distribution, and the source classes of strict negatives
@@ -15,21 +16,22 @@ STRICT_NEGATIVE = ("Blackheads", "Whiteheads")
 
 
 def distribution(df: DataFrame, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(by, measure, points): exact percentiles with linear interpolation; null points where there are no values. Nulls don't count.
+    """(by, measure, points): exact percentiles with linear interpolation; null points where there are no values. Nulls don't count; groups by null are no groups.
 
-    Values are ranked by ranges, so no task holds the values of a group; the two rows next to each point are all that is gathered. Groups by null are no groups.
+    Equal values are counted before anything is shuffled, so a value however frequent is one row. Counts are added up in ranges of the values, so no task holds
+    those of a group; the values next to each point are all that is gathered.
     """
     each = df.select(*by, F.explode(F.array(*(F.struct(F.lit(v).alias("measure"), F.col(v).cast("double").alias("v")) for v in values))).alias("m")).select(*by, "m.*")
     keys = [*by, "measure"]
-    counts = each.groupBy(*keys).agg(F.count("v").alias("n"))
-    points = F.explode(F.array(*(F.struct(F.lit(k).alias("point"), F.lit(p).alias("p")) for k, p in POINTS.items()))).alias("q")
-    at = counts.select(*keys, "n", points).select(*keys, "q.point", (F.col("q.p") * (F.col("n") - 1)).alias("at"), "n")
-    at = at.select(*keys, "point", "at", F.explode(F.array_distinct(F.array(F.floor("at") + 1, F.ceil("at") + 1))).alias("number"), "n")
-    ranked = preparation.numbered(each.where("v IS NOT NULL"), keys, ["v"])
-    near = at.where("n > 0").join(ranked, [*keys, "number"])
-    low, high = F.min("v"), F.max("v")
-    share = F.max(F.col("at") - F.floor("at"))
-    found = near.groupBy(*keys, "point").agg((low + (high - low) * share).alias("x"))
+    stages = Stages(df.sparkSession)
+    distinct = stages.write(each.groupBy(*keys, "v").agg(F.count("*").alias("c")), "values")
+    counts = distinct.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("c"))), F.lit(0)).alias("n"))
+    upto = preparation.cumulated(distinct.where("v IS NOT NULL"), keys, ["v"], F.col("c"), "upto")
+    points = F.array(*(F.struct(F.lit(k).alias("point"), (F.lit(p) * (F.col("n") - 1)).alias("at")) for k, p in POINTS.items()))
+    placed = upto.join(counts.where("n > 0").select(*keys, points.alias("points")), keys)
+    has = lambda x, place: (place(x["at"]) + 1 > F.col("upto") - F.col("c")) & (place(x["at"]) + 1 <= F.col("upto"))
+    near = placed.select(*keys, "v", F.explode(F.filter("points", lambda x: has(x, F.floor) | has(x, F.ceil))).alias("q")).select(*keys, "v", "q.*")
+    found = near.groupBy(*keys, "point").agg((F.min("v") + (F.max("v") - F.min("v")) * F.max(F.col("at") - F.floor("at"))).alias("x"))
     wide = found.groupBy(*keys).pivot("point", list(POINTS)).agg(F.first("x"))
     return counts.select(*keys).join(wide, keys, "left")
 

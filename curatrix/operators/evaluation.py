@@ -217,6 +217,12 @@ def average_precision(pred: DataFrame, truth: DataFrame, most: int = 300, thresh
     return whole.groupBy("class_id", "threshold").agg(F.avg("p").alias("ap"))
 
 
+def with_secondary(main: DataFrame, secondary: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of the main figures with those of the secondary ones that have the same keys; null where there are none. Names that both have are taken from the main ones."""
+    more = secondary.select(*keys, *(c for c in secondary.columns if c not in main.columns))
+    return main.join(more, keys, "left")
+
+
 def mean_average_precision(ap: DataFrame) -> DataFrame:
     """(class_id, map50, map50_95), with class_id null for the mean of the classes."""
     per = ap.groupBy("class_id").agg(F.avg(F.when(F.abs(F.col("threshold") - 0.5) < 1e-9, F.col("ap"))).alias("map50"), F.avg("ap").alias("map50_95"))

@@ -2,23 +2,54 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes, scalars
+from ..stage import Stages
+
+
+def block_terms(column: str, distance: int, agreeing: int, bits: int = 64) -> list[str]:
+    """SQL of bigint terms of a fingerprint, of which two with at most `distance` different bits share at least one.
+
+    The bits are cut into distance + agreeing blocks; each choice of `agreeing` blocks with its bits is a term. Of two such fingerprints at least `agreeing` blocks are
+    equal. More agreeing blocks make terms longer and more: with 4 bits, 5 terms of 12 or 13 bits, 15 of 20 to 22, 35 of 27 to 28.
+    """
+    parts = distance + agreeing
+    edges = [round(bits * k / parts) for k in range(parts + 1)]
+    block = [f"(shiftrightunsigned({column}, {lo}) & {(1 << (hi - lo)) - 1}L)" for lo, hi in zip(edges, edges[1:])]
+    out = []
+    for number, chosen in enumerate(combinations(range(parts), agreeing)):
+        value = f"{number}L"
+        for k in chosen:
+            value = f"(shiftleft({value}, {edges[k + 1] - edges[k]}) | {block[k]})"
+        out.append(value)
+    return out
+
+
+def best_agreeing(left: int, right: int, distance: int, bits: int = 64) -> int:
+    """How many blocks a term should have for so many fingerprints: what is listed, each some eight times as costly, and what meets by chance add up to the least."""
 
+    def cost(agreeing: int) -> float:
+        return comb(distance + agreeing, agreeing) * (8.0 * (left + right) + left * right * 2.0 ** (-bits * agreeing / (distance + agreeing)))
 
-def bands(print_: Column, distance: int) -> Column:
-    """array<struct<band, bits>>: with one band more than different bits are allowed, near fingerprints agree in a band."""
-    n = distance + 1
-    edges = [round(64 * k / n) for k in range(n + 1)]
-    return F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(print_, lo).bitwiseAND((1 << (hi - lo)) - 1).alias("bits")) for k, (lo, hi) in enumerate(zip(edges, edges[1:]))))
+    return min(range(1, 6), key=cost)
 
 
-def print_pairs(df: DataFrame, print_: str, distance: int = 4) -> DataFrame:
-    """(p, q, hamming), p < q: distinct fingerprints that differ in 1 to `distance` bits. Equal ones are one row before they meet."""
-    each = df.where(F.col(print_).isNotNull()).select(F.col(print_).alias("p")).distinct().select("p", F.explode(bands(F.col("p"), distance)).alias("b")).select("p", "b.*")
-    met = each.join(each.withColumnRenamed("p", "q"), ["band", "bits"]).where((F.col("p") < F.col("q")) & (scalars.hamming(F.col("p"), F.col("q")) <= distance))
+def print_pairs(df: DataFrame, print_: str, distance: int = 4, agreeing: int | None = None) -> DataFrame:
+    """(p, q, hamming), p < q: distinct fingerprints that differ in 1 to `distance` bits. Equal ones are one row before they meet.
+
+    They meet by block terms, which grow longer as the fingerprints grow more, so chance meetings don't grow with their square.
+    """
+    each = Stages(df.sparkSession).write(df.where(F.col(print_).isNotNull()).select(F.col(print_).alias("p")).distinct(), "prints")
+    if not agreeing:
+        n = each.count()
+        agreeing = best_agreeing(n, n, distance)
+    listed = each.selectExpr("p", f"explode(array({', '.join(block_terms('p', distance, agreeing))})) AS term")
+    met = listed.join(listed.withColumnRenamed("p", "q"), "term").where((F.col("p") < F.col("q")) & (scalars.hamming(F.col("p"), F.col("q")) <= distance))
     return met.select("p", "q").distinct().withColumn("hamming", scalars.hamming(F.col("p"), F.col("q")))
 
 

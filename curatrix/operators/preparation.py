@@ -58,18 +58,23 @@ def image_stats(images: DataFrame, objects: DataFrame, originals: str) -> DataFr
 
 
 def numbered(df: DataFrame, group: str | list[str], order: list[str], name: str = "number") -> DataFrame:
-    """Sequential numbers from 1 within each group, in order.
+    """Sequential numbers from 1 within each group, in order."""
+    return cumulated(df, group, order, F.lit(1), name)
 
-    A group may be as large as a split, so it isn't sorted in one task: ranges of the order are frozen by writing them, numbered apart, then shifted.
+
+def cumulated(df: DataFrame, group: str | list[str], order: list[str], weight: Column, name: str) -> DataFrame:
+    """The sum of a weight up to each row of its group, in an order that leaves no ties.
+
+    A group may be as large as a split, so it isn't sorted in one task: ranges of the order are frozen by writing them, summed apart, then shifted.
     """
     spark = df.sparkSession
     groups = [group] if isinstance(group, str) else list(group)
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = Stages(spark).write(df.repartitionByRange(ranges, *groups, *order).withColumn("_part", F.spark_partition_id()), "ranges")
-    sizes = ranged.groupBy(*groups, "_part").agg(F.count("*").alias("_n"))
+    ranged = Stages(spark).write(df.withColumn("_weight", weight).repartitionByRange(ranges, *groups, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy(*groups, "_part").agg(F.sum("_weight").alias("_n"))
     offsets = sizes.select(*groups, "_part", (F.sum("_n").over(Window.partitionBy(*groups).orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a range
-    inside = F.row_number().over(Window.partitionBy(*groups, "_part").orderBy(*order))
-    return ranged.withColumn("_inside", inside).join(offsets, [*groups, "_part"]).withColumn(name, F.col("_before") + F.col("_inside")).drop("_part", "_inside", "_before")
+    inside = F.sum("_weight").over(Window.partitionBy(*groups, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("_inside", inside).join(offsets, [*groups, "_part"]).withColumn(name, F.col("_before") + F.col("_inside")).drop("_part", "_inside", "_before", "_weight")
 
 
 def assert_unique(df: DataFrame, keys: list[str]) -> None:

@@ -57,6 +57,10 @@ def connected(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return contraction.roots(first, levels, stages)
 
 
+# fixed values: the reasons of a removal, the first that applies coming first
+REMOVAL_REASONS = ("STRICT_N1_BLACKHEAD_WHITEHEAD_NEGATIVE", "CONFIRMED_CROSS_SPLIT_B_VARIANT", "VAL_TEST_LEAKAGE_S1_REMOVE_VAL")
+
+
 def group_table(members: DataFrame, root: str, split: str) -> DataFrame:
     """(root, num_files, has_train, has_val, has_test, splits, status); a group with val and test is held for review."""
     g = members.groupBy(root).agg(F.count("*").alias("num_files"), *(F.coalesce(F.bool_or(F.col(split) == s), F.lit(False)).alias(f"has_{s}") for s in ("train", "val", "test")))
@@ -77,21 +81,41 @@ def removals(members: DataFrame, groups: DataFrame, strict: DataFrame, root: str
     """(key, reason) of what a derived version leaves out: strict negatives of train, training members of groups that reach val or test, and val members of groups
     that hold both."""
     joined = members.join(groups.select(root, "has_val", "has_test"), root)
-    reason = F.when((F.col(split) == "train") & (F.col("has_val") | F.col("has_test")), "CONFIRMED_CROSS_SPLIT_B_VARIANT").when((F.col(split) == "val") & F.col("has_test"), "VAL_TEST_LEAKAGE_S1_REMOVE_VAL")
+    strict_first, crossing, leaking = REMOVAL_REASONS
+    reason = F.when((F.col(split) == "train") & (F.col("has_val") | F.col("has_test")), crossing).when((F.col(split) == "val") & F.col("has_test"), leaking)
     linked = joined.select(key, reason.alias("reason")).where("reason IS NOT NULL")
-    both = strict.select(key, F.lit("STRICT_N1_BLACKHEAD_WHITEHEAD_NEGATIVE").alias("reason")).unionByName(linked)
-    return both.groupBy(key).agg(F.max("reason").alias("reason"))  # strict negatives go before, as S does before C; V after both can't meet them
+    both = strict.select(key, F.lit(strict_first).alias("reason")).unionByName(linked)
+    first = F.min(F.array_position(F.array(*map(F.lit, REMOVAL_REASONS)), F.col("reason")).cast("int"))
+    return both.groupBy(key).agg(F.element_at(F.array(*map(F.lit, REMOVAL_REASONS)), first).alias("reason"))
 
 
 def retained_counterparts(members: DataFrame, removed: DataFrame, root: str, key: str, split: str) -> DataFrame:
-    """(key, counterparts): for each removed member the held-out members of its group that stay, sorted and joined by `;`.
+    """(root, key, role): of each group that loses members, those removed, REMOVED, and the held-out ones that stay, COUNTERPART.
 
-    A group's staying members are aggregated once, not once for each removed member.
+    The counterparts of a removed member are those of its root. So the rows are as many as the members, not as the pairs of a member removed and one that stays.
     """
-    gone = members.join(removed.select(key), key, "left_semi")
-    stay = members.join(removed.select(key), key, "left_anti").where(F.col(split).isin("val", "test"))
-    lists = stay.groupBy(root).agg(F.array_join(F.array_sort(F.collect_set(key)), ";").alias("counterparts"))
-    return gone.join(lists, root, "left").select(key, F.coalesce("counterparts", F.lit("")).alias("counterparts"))
+    gone = removed.select(key, F.lit(True).alias("gone")).distinct()
+    told = members.join(gone, key, "left").withColumn("role", F.when(F.col("gone"), "REMOVED").when(F.col(split).isin("val", "test"), "COUNTERPART"))
+    losing = told.where("role = 'REMOVED'").select(root).distinct()
+    return told.where("role IS NOT NULL").join(losing, root, "left_semi").select(root, key, "role")
+
+
+def split_sets(groups: DataFrame) -> DataFrame:
+    """(splits, groups, files): how many groups, and files in them, have members in exactly these splits."""
+    return groups.groupBy("splits").agg(F.count("*").alias("groups"), F.sum("num_files").cast("bigint").alias("files"))
+
+
+def boxes_of_outliers(outliers: DataFrame, annotations: DataFrame, keys: list[str]) -> DataFrame:
+    """Outlier rows with the annotation that has the same keys; of several, the first by its position. An outlier without one has nulls."""
+    first = annotations.groupBy(*keys).agg(F.min(F.struct("position", *(c for c in annotations.columns if c not in (*keys, "position")))).alias("_a"))
+    return outliers.join(first, keys, "left").select(*outliers.columns, "_a.*")
+
+
+def displayed_boxes(annotations: DataFrame, selected: DataFrame, image: list[str], ident: str) -> DataFrame:
+    """All annotations of the images that have a selected one, each with `selected_outlier`."""
+    marks = selected.select(*image, ident).distinct().withColumn("selected_outlier", F.lit(True))
+    shown = annotations.join(selected.select(*image).distinct(), image, "left_semi")
+    return shown.join(marks, [*image, ident], "left").withColumn("selected_outlier", F.coalesce("selected_outlier", F.lit(False)))
 
 
 def torn_pairs(pairs: DataFrame, members: DataFrame, a: str, b: str, key: str, root: str) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import boxes, names
-from ..operators import audit, near, preparation, review, sets, validation
-from ..stage import Stages, table
+from ..operators import audit, derivation, near, preparation, review, sets, validation
+from ..sources import coco, labels
+from ..stage import Stages, new_path, table
 from . import inputs
 from .registry import Registry
 
@@ -158,6 +159,30 @@ def positional_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy(problem.alias("problem")).agg(F.count("*").alias("n"))
 
 
+_PLACED = f"""{_I}, {_L}, a AS (SELECT DISTINCT line_id, stem, line_no AS position, class_id, x_center, y_center, w, h FROM lab JOIN (SELECT DISTINCT line_id, line_no FROM label_lines) USING (line_id) JOIN (SELECT DISTINCT stem FROM images) USING (stem)),
+l AS (SELECT * FROM (SELECT path, content, row_number() OVER (PARTITION BY file_id ORDER BY written_at DESC, content DESC) AS r FROM label_files) WHERE r = 1),
+t AS (SELECT stem, CAST(i AS INTEGER) AS position, string_split(trim(regexp_replace(ls[i], '\s+', ' ', 'g')), ' ') AS f FROM (SELECT regexp_extract(regexp_extract(path, '([^/\\\\]*)$', 1), '^(.+)[.][^.]*$', 1) AS stem, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT path, list_filter(string_split_regex(content, '\r\n?|\n'), lambda s: regexp_matches(s, '\S')) AS ls FROM l))),
+b AS (SELECT stem, position, CAST(f[1] AS BIGINT) AS cb, list_transform(f[2:5], lambda x: CAST(x AS DOUBLE)) AS v FROM t WHERE len(f) = 5 AND regexp_full_match(f[1], '[+-]?[0-9]+') AND len(list_filter(f[2:5], lambda x: NOT regexp_full_match(x, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?'))) = 0 AND stem IN (SELECT stem FROM images)),
+j AS (SELECT coalesce(a.stem, b.stem) AS stem, coalesce(a.position, b.position) AS position, CASE WHEN cb IS NULL THEN 'MISSING_LABEL' WHEN class_id IS NULL THEN 'MISSING_ANNOTATION' WHEN class_id <> cb THEN 'CLASS'
+  WHEN NOT (abs(v[1] - x_center) <= 2e-6 + 1e-5 * abs(x_center) AND abs(v[2] - y_center) <= 2e-6 + 1e-5 * abs(y_center) AND abs(v[3] - w) <= 2e-6 + 1e-5 * abs(w) AND abs(v[4] - h) <= 2e-6 + 1e-5 * abs(h)) THEN 'BOX' END AS problem
+  FROM a FULL JOIN b ON a.stem = b.stem AND a.position = b.position)"""
+
+
+@registry.query(f"WITH {_PLACED} SELECT problem, count(*) AS n FROM j WHERE problem IS NOT NULL GROUP BY 1")
+def positional_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of the line table and of the label files compared place by place, with the tolerance for written shares."""
+    known = inputs.images(spark, sf_dir).select("stem").distinct()
+    place = table(spark, sf_dir, "label_lines").select("line_id", F.col("line_no").alias("position")).distinct()
+    share = {"w": "width", "h": "height"}
+    a = inputs.label_boxes(spark, sf_dir).join(place, "line_id").join(known, "stem").withColumnsRenamed(share)
+    last = table(spark, sf_dir, "label_files").groupBy("file_id", "path").agg(F.max(F.struct("written_at", "content")).alias("last"))
+    listed = F.filter(F.split("last.content", r"\r\n?|\n"), lambda s: s.rlike(r"\S"))
+    rows = last.select(names.stem(F.col("path")).alias("stem"), F.posexplode(listed).alias("p", "line")).select("stem", (F.col("p") + 1).alias("position"), "line")
+    b = labels.boxes(rows).where("size(split(trim(regexp_replace(line, '\\\\s+', ' ')), ' ')) = 5").dropna(subset=["class_id", *validation.NAMES]).join(known, "stem")
+    found = validation.positional_differences(a, b, ["stem"])
+    return found.groupBy("problem").agg(F.count("*").alias("n"))
+
+
 _PIXEL = "b AS (SELECT image_id, line_id, (x_center - w / 2) * width AS x1, (y_center - h / 2) * height AS y1, (x_center + w / 2) * width AS x2, (y_center + h / 2) * height AS y2 FROM lab JOIN images USING (stem))"
 
 
@@ -265,12 +290,36 @@ def derived_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _removed(spark, sf_dir, _members(spark, sf_dir))
 
 
-@registry.query(f"WITH RECURSIVE {_REMOVED} SELECT m.file_name, coalesce((SELECT string_agg(DISTINCT s.file_name, ';' ORDER BY s.file_name) FROM m s WHERE s.root = m.root AND s.split IN ('val', 'test') AND s.file_name NOT IN (SELECT file_name FROM rem)), '') AS counterparts FROM m WHERE file_name IN (SELECT file_name FROM rem)")
+@registry.query(
+    f"""WITH RECURSIVE {_REMOVED}, losing AS (SELECT DISTINCT root FROM m WHERE file_name IN (SELECT file_name FROM rem)),
+role AS (SELECT root, file_name, CASE WHEN file_name IN (SELECT file_name FROM rem) THEN 'REMOVED' WHEN split IN ('val', 'test') THEN 'COUNTERPART' END AS role FROM m WHERE root IN (SELECT root FROM losing))
+SELECT root, file_name, role FROM role WHERE role IS NOT NULL"""
+)
 def retained_counterparts(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _members(spark, sf_dir)
     return review.retained_counterparts(m, _removed(spark, sf_dir, m), "root", "file_name", "split")
 
 
+@registry.query(
+    f"""WITH RECURSIVE {_MEMBERS} SELECT array_to_string(list_filter([CASE WHEN has_train THEN 'train' END, CASE WHEN has_val THEN 'val' END, CASE WHEN has_test THEN 'test' END], lambda x: x IS NOT NULL), ';') AS splits,
+count(*) AS groups, CAST(sum(num_files) AS BIGINT) AS files FROM g GROUP BY 1"""
+)
+def split_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many groups reach which splits."""
+    return review.split_sets(review.group_table(_members(spark, sf_dir), "root", "split"))
+
+
+@registry.query(
+    rf"""WITH RECURSIVE {inputs.COMPONENTS}, d AS (SELECT DISTINCT pair_id, trim(regexp_replace(file_a, '^.*[/\\]', '')) AS a, trim(regexp_replace(file_b, '^.*[/\\]', '')) AS b FROM duplicate_review WHERE pair_id IS NOT NULL)
+SELECT pair_id, a, b FROM d LEFT JOIN comp x ON x.file_name = a LEFT JOIN comp y ON y.file_name = b WHERE a <> '' AND b <> '' AND NOT coalesce(x.root = y.root, false)"""
+)
+def torn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judged pairs, whatever the verdict, whose two files aren't in one group."""
+    d = table(spark, sf_dir, "duplicate_review").where("pair_id IS NOT NULL")
+    pairs = d.select("pair_id", names.bare_name(F.col("file_a")).alias("a"), names.bare_name(F.col("file_b")).alias("b")).dropna().distinct()
+    return review.torn_pairs(pairs, components(spark, sf_dir), "a", "b", "node", "root")
+
+
 @registry.query(f"WITH RECURSIVE {_REMOVED} SELECT i.split, count(*) AS images FROM (SELECT DISTINCT file_name, split FROM images WHERE split IS NOT NULL) i WHERE file_name NOT IN (SELECT file_name FROM rem) GROUP BY 1")
 def derived_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays when the removals are applied, checked for groups that still span splits."""
@@ -283,6 +332,20 @@ def derived_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("split").agg(F.count("*").alias("images"))
 
 
+@registry.query(
+    f"""WITH RECURSIVE {_REMOVED}, {_L}, i AS (SELECT split, file_name, stem FROM images WHERE split IS NOT NULL AND file_name NOT IN (SELECT file_name FROM rem)), o AS (SELECT stem, count(*) AS n FROM lab GROUP BY 1)
+SELECT split, count(*) AS images, CAST(count_if(n IS NULL) AS BIGINT) AS negatives, CAST(coalesce(sum(n), 0) AS BIGINT) AS objects FROM i LEFT JOIN o USING (stem) GROUP BY 1"""
+)
+def derived_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived version planned, gated by its own counts, written, and validated from what was written."""
+    m = _members(spark, sf_dir)
+    removed = Stages(spark).write(_removed(spark, sf_dir, m), "removed")
+    i = inputs.images(spark, sf_dir).where("split IS NOT NULL").select("split", "file_name", "stem").distinct()
+    annotations = inputs.label_boxes(spark, sf_dir).join(i, "stem").select("file_name", "line_id", "class_id")
+    plan = derivation.derive(i, annotations, removed, ["file_name"], "split")
+    return derivation.derive(i, annotations, removed, ["file_name"], "split", plan.counts, new_path(spark, "derived")).counts
+
+
 @registry.query(f"WITH RECURSIVE {inputs.COMPONENTS} SELECT root, 'G' || lpad(CAST(row_number() OVER (ORDER BY root) AS VARCHAR), CAST(greatest(3, length(CAST(row_number() OVER (ORDER BY root) AS VARCHAR))) AS INTEGER), '0') AS group_id FROM (SELECT DISTINCT root FROM comp)")
 def group_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.group_numbers(components(spark, sf_dir), "root", "node")
@@ -329,3 +392,67 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def object_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = review.object_map(_objects(spark, sf_dir), ["image_id"], "class_id")
     return m.select("image_id", F.array_join(F.transform(F.map_entries("objects"), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string"))), ",").alias("objects"))
+
+
+_OUTLIERS = f"""{_I}, {_L}, b AS (SELECT image_id, line_id, class_id, width AS iw, height AS ih, (x_center - w / 2) * width AS x, (y_center - h / 2) * height AS y, w * width AS bw, h * height AS bh FROM lab JOIN images USING (stem) WHERE class_id = 1),
+s AS (SELECT image_id, line_id FROM b WHERE greatest(bw / bh, bh / bw) >= 8)"""
+
+
+def _wrinkle_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, line_id, class_id, bbox, width, height) of label boxes of the class of thin things."""
+    t = inputs.truth(spark, sf_dir).where("class_id = 1").select(F.col("image").alias("image_id"), F.col("truth").alias("line_id"), "class_id", boxes.corners_to_xywh(*(F.col(c) for c in ("x1", "y1", "x2", "y2"))).alias("bbox"))
+    return t.join(inputs.images(spark, sf_dir).select("image_id", "width", "height"), "image_id")
+
+
+@registry.query(
+    f"""WITH {_OUTLIERS} SELECT image_id, line_id, round(bw, 6) AS width_px, round(bh, 6) AS height_px, round(bw * bh / (iw * ih), 12) AS area_norm, round(bw / bh, 6) AS aspect_ratio,
+(image_id, line_id) IN (SELECT (image_id, line_id) FROM s) AS selected_outlier FROM b WHERE image_id IN (SELECT image_id FROM s)"""
+)
+def displayed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All boxes of the images with an outlier, measured, and whether each is one."""
+    every = _wrinkle_boxes(spark, sf_dir)
+    m = boxes.measures(F.col("bbox"), F.col("width"), F.col("height"))
+    measured = every.select("image_id", "line_id", *(m[c].alias(c) for c in ("width_px", "height_px", "area_norm", "aspect_ratio")))
+    thin = measured.where(F.greatest(F.col("aspect_ratio"), 1 / F.col("aspect_ratio")) >= 8)
+    shown = review.displayed_boxes(measured, thin, ["image_id"], "line_id")
+    return shown.select("image_id", "line_id", F.round("width_px", 6).alias("width_px"), F.round("height_px", 6).alias("height_px"), F.round("area_norm", 12).alias("area_norm"), F.round("aspect_ratio", 6).alias("aspect_ratio"), "selected_outlier")
+
+
+@registry.query(f"""WITH {_OUTLIERS} SELECT s.image_id, s.line_id, round(least(x / iw, y / ih, (iw - x - bw) / iw, (ih - y - bh) / ih), 9) AS gap FROM s JOIN b USING (image_id, line_id)""")
+def outlier_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each outlier with its own annotation, and that one's distance to the edge."""
+    every = _wrinkle_boxes(spark, sf_dir)
+    m = boxes.measures(F.col("bbox"), F.col("width"), F.col("height"))
+    outliers = every.where(F.greatest(m["aspect_ratio"], 1 / m["aspect_ratio"]) >= 8).select("image_id", "line_id")
+    found = review.boxes_of_outliers(outliers, every.withColumn("position", F.col("line_id")), ["image_id", "line_id"])
+    return found.select("image_id", "line_id", F.round(boxes.edge_gap(F.col("bbox"), F.col("width"), F.col("height")), 9).alias("gap"))
+
+
+@registry.query(f"""WITH {_I}, d AS (SELECT DISTINCT image_id, split, source_image_id FROM source_images)
+SELECT d.image_id, d.source_image_id, i.file_name AS source_file_name FROM d JOIN (SELECT image_id, CASE WHEN split = 'valid' THEN 'val' ELSE split END AS s FROM d) k USING (image_id) JOIN images i ON i.image_id = d.image_id WHERE k.s IS NOT NULL""")
+def source_images_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derived images with the raw image that each was made from; ids of raw images restart in each split."""
+    i = table(spark, sf_dir, "source_images").select("image_id", names.split_name(F.col("split")).alias("split"), "source_image_id", names.bare_name(F.col("file_name")).alias("file_name")).where("split IS NOT NULL").distinct()
+    derived = i.select("image_id", F.col("split").alias("source_split"), "source_image_id")
+    raw = i.select("split", F.col("source_image_id").alias("id"), "file_name")
+    return coco.to_source(derived, raw).select("image_id", "source_image_id", "source_file_name")
+
+
+@registry.query(rf"""WITH {_I}, r AS (SELECT DISTINCT trim(regexp_replace(file_a, '^.*[/\\]', '')) AS f, CASE lower(trim(split_a)) WHEN 'valid' THEN 'val' ELSE lower(trim(split_a)) END AS split FROM duplicate_review),
+x AS (SELECT f, min(split) AS split FROM r WHERE f <> '' AND split IN ('train', 'val', 'test') GROUP BY 1)
+SELECT x.f AS pair_id, x.split FROM x LEFT JOIN images i ON i.file_name = x.f WHERE i.file_name IS NULL OR i.split IS DISTINCT FROM x.split""")
+def mismatched_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviewed files whose split at the time isn't the present one, or that are gone."""
+    r = table(spark, sf_dir, "duplicate_review").select(names.bare_name(F.col("file_a")).alias("pair_id"), names.split_name(F.col("split_a")).alias("split")).dropna()
+    reviewed = r.groupBy("pair_id").agg(F.min("split").alias("split"))
+    now = inputs.images(spark, sf_dir).select(F.col("file_name").alias("pair_id"), "split").distinct()
+    return review.mismatched_metadata(reviewed, now, ["split"])
+
+
+@registry.query(f"WITH {_I}, {_L} SELECT line_id, class_id || ' ' || printf('%.8f', x_center) || ' ' || printf('%.8f', y_center) || ' ' || printf('%.8f', w) || ' ' || printf('%.8f', h) AS line FROM lab JOIN images USING (stem) WHERE x_center - w / 2 >= 0.01 AND y_center - h / 2 >= 0.01 AND x_center + w / 2 <= 0.99 AND y_center + h / 2 <= 0.99")
+def rewritten_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label lines written again from boxes in pixels that lie within their image."""
+    t = inputs.truth(spark, sf_dir).join(inputs.images(spark, sf_dir).select(F.col("image_id").alias("image"), "width", "height"), "image")
+    box = boxes.corners_to_xywh(*(F.col(c) for c in ("x1", "y1", "x2", "y2")))
+    inside = (F.col("x1") >= 0.01 * F.col("width")) & (F.col("y1") >= 0.01 * F.col("height")) & (F.col("x2") <= 0.99 * F.col("width")) & (F.col("y2") <= 0.99 * F.col("height"))
+    return t.where(inside).select(F.col("truth").alias("line_id"), boxes.label_line(F.col("class_id"), box, F.col("width"), F.col("height")).alias("line"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import audit
 from ..operators import evaluation as ev
 from ..stage import table
 from . import inputs
@@ -154,12 +155,68 @@ def confident_wrinkles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("prediction_id", "confidence").distinct()
 
 
-@registry.query()
+def _ap_sql(levels: list[int]) -> str:
+    """Every overlap threshold (in hundredths) matched by recursion on its own, then the best precision at each of 101 recalls or beyond."""
+    return f"""{_BASE}{_IOU}, lv AS (SELECT unnest({levels}) AS level), top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image, class_id ORDER BY conf DESC, pred) AS r FROM pred) WHERE r <= 300),
+cand AS (SELECT n.image, n.pc, n.pred, n.conf, n.truth, n.iou, lv.level FROM near n JOIN top ON top.image = n.image AND top.class_id = n.pc AND top.pred = n.pred JOIN lv ON iou >= least(level / CAST(100 AS DOUBLE), 1 - 1e-10) WHERE pc = tc),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY image, pc, level ORDER BY conf DESC, pred, iou DESC, truth DESC) AS k FROM cand),
+walk AS (SELECT image, pc, level, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS ps, CAST([] AS BIGINT[]) AS ts, false AS taken, CAST(NULL AS BIGINT) AS pred FROM (SELECT DISTINCT image, pc, level FROM ranked)
+  UNION ALL SELECT r.image, r.pc, r.level, r.k, CASE WHEN list_contains(w.ps, r.pred) OR list_contains(w.ts, r.truth) THEN w.ps ELSE list_append(w.ps, r.pred) END,
+    CASE WHEN list_contains(w.ps, r.pred) OR list_contains(w.ts, r.truth) THEN w.ts ELSE list_append(w.ts, r.truth) END, NOT (list_contains(w.ps, r.pred) OR list_contains(w.ts, r.truth)), r.pred
+  FROM walk w JOIN ranked r ON w.image = r.image AND w.pc = r.pc AND w.level = r.level AND r.k = w.k + 1),
+hit AS (SELECT image, pc, level, pred FROM walk WHERE taken), support AS (SELECT class_id, count(*) AS n FROM truth GROUP BY 1),
+placed AS (SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY conf DESC, image, pred) AS place FROM top),
+marks AS (SELECT p.class_id, h.level, p.place, row_number() OVER (PARTITION BY p.class_id, h.level ORDER BY p.place) AS tp FROM placed p JOIN hit h ON h.image = p.image AND h.pc = p.class_id AND h.pred = p.pred),
+pr AS (SELECT m.class_id, level, tp / CAST(s.n AS DOUBLE) AS r, tp / CAST(place AS DOUBLE) AS p FROM marks m JOIN support s USING (class_id)),
+grid AS (SELECT s.class_id, lv.level, CAST(i AS DOUBLE) * CAST(0.01 AS DOUBLE) AS least FROM support s CROSS JOIN lv CROSS JOIN (SELECT unnest(range(0, 101)) AS i)),
+best AS (SELECT g.class_id, g.level, g.least, coalesce(max(pr.p), 0) AS p FROM grid g LEFT JOIN pr ON pr.class_id = g.class_id AND pr.level = g.level AND pr.r >= g.least GROUP BY ALL),
+ap AS (SELECT class_id, level / CAST(100 AS DOUBLE) AS threshold, avg(p) AS ap FROM best GROUP BY ALL)"""
+
+
+_STRICT, _LOOSE_LEVELS = list(range(50, 100, 5)), [10, 20, 30]
+_MAP_SQL = """, per AS (SELECT class_id, avg(ap) FILTER (WHERE threshold = 0.5) AS map50, avg(ap) AS map50_95 FROM ap GROUP BY 1)
+SELECT coalesce(class_id, -1) AS class_id, round(avg(map50), 9) AS map50, round(avg(map50_95), 9) AS map50_95 FROM per GROUP BY GROUPING SETS ((class_id), ())"""
+
+
+@registry.query(_ap_sql(_STRICT) + " SELECT class_id, threshold, round(ap, 9) AS ap FROM ap")
 def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AP by class and overlap threshold; checked against a plain version in the tests."""
-    return ev.average_precision(inputs.predictions(spark, sf_dir), inputs.truth(spark, sf_dir))
+    """AP by class and overlap threshold."""
+    return ev.average_precision(inputs.predictions(spark, sf_dir), inputs.truth(spark, sf_dir)).withColumn("ap", F.round("ap", 9))
 
 
-@registry.query()
+@registry.query(_ap_sql(_LOOSE_LEVELS) + " SELECT class_id, threshold, round(ap, 9) AS ap FROM ap")
+def average_precision_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same at thresholds that these data reach more often."""
+    return ev.average_precision(inputs.predictions(spark, sf_dir), inputs.truth(spark, sf_dir), thresholds=[k / 100 for k in _LOOSE_LEVELS]).withColumn("ap", F.round("ap", 9))
+
+
+@registry.query(_ap_sql(_STRICT) + _MAP_SQL)
 def mean_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.mean_average_precision(average_precision(spark, sf_dir)).withColumn("class_id", F.coalesce("class_id", F.lit(-1)))
+    ap = ev.average_precision(inputs.predictions(spark, sf_dir), inputs.truth(spark, sf_dir))
+    return ev.mean_average_precision(ap).select(F.coalesce("class_id", F.lit(-1)).alias("class_id"), F.round("map50", 9).alias("map50"), F.round("map50_95", 9).alias("map50_95"))
+
+
+_WITH_SECONDARY = f"""{_CLASS}, f1 AS (SELECT class_id, count(*) AS n, CAST(count_if(tp) AS BIGINT) AS tp FROM flag GROUP BY 1), s1 AS (SELECT class_id, count(*) AS support FROM truth GROUP BY 1)
+SELECT s1.class_id, support, coalesce(n, 0) AS predictions, coalesce(tp, 0) AS tp, support - coalesce(tp, 0) AS fn FROM s1 LEFT JOIN f1 USING (class_id)"""
+
+
+@registry.query(_WITH_SECONDARY)
+def joined_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main figures of each class with its secondary ones."""
+    flagged, truth = _flagged(spark, sf_dir)
+    main = truth.groupBy("class_id").agg(F.count("*").alias("support"))
+    second = flagged.groupBy("class_id").agg(F.count("*").alias("predictions"), F.count_if("tp").alias("tp"))
+    return ev.with_secondary(main, second, ["class_id"]).fillna(0, ["predictions", "tp"]).withColumn("fn", F.col("support") - F.col("tp"))
+
+
+@registry.query(f"""{_CLASS}, h AS (SELECT image, CAST(count_if(tp) AS BIGINT) AS tp FROM flag GROUP BY 1), i AS (SELECT image, min(class_id) AS lo, max(class_id) AS hi, coalesce(max(h.tp), 0) AS tp FROM truth LEFT JOIN h USING (image) GROUP BY 1),
+a AS (SELECT min(image) AS image FROM i WHERE tp > 0), b AS (SELECT min(image) AS image FROM i WHERE tp = 0 AND image NOT IN (SELECT image FROM a WHERE image IS NOT NULL)),
+c AS (SELECT min(image) AS image FROM i WHERE lo < hi AND image NOT IN (SELECT image FROM a WHERE image IS NOT NULL UNION SELECT image FROM b WHERE image IS NOT NULL))
+SELECT * FROM (SELECT 'HIT' AS rule, image FROM a UNION ALL SELECT 'MISSED', image FROM b UNION ALL SELECT 'SEVERAL_CLASSES', image FROM c) WHERE image IS NOT NULL""")
+def example_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each rule the first image that no rule before it took."""
+    flagged, truth = _flagged(spark, sf_dir)
+    hits = flagged.groupBy("image").agg(F.count_if("tp").alias("tp"))
+    images = truth.groupBy("image").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).join(hits, "image", "left").fillna(0, ["tp"])
+    rules = [("HIT", F.col("tp") > 0, []), ("MISSED", F.col("tp") == 0, []), ("SEVERAL_CLASSES", F.col("lo") < F.col("hi"), [])]
+    return audit.first_unused(images, rules, "image")

@@ -41,7 +41,7 @@ def clip_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FLAG_SQL = f"""WITH {_BOX_SQL}, f AS (SELECT *, list_filter([CASE WHEN least(w, h) < 4 OR w * h / (iw * ih) < 1e-4 THEN 'TINY' END, CASE WHEN w * h / (iw * ih) > 0.25 THEN 'LARGE' END,
-  CASE WHEN least(x / iw, y / ih, (iw - x - w) / iw, (ih - y - h) / ih) <= 0.01 THEN 'BOUNDARY' END, CASE WHEN greatest(w / h, h / w) >= 10 THEN 'THIN' END], lambda v: v IS NOT NULL) AS flags FROM b)"""
+  CASE WHEN least(x / iw, y / ih, (iw - x - w) / iw, (ih - y - h) / ih) <= 0.01 THEN 'BOUNDARY' END, CASE WHEN greatest(w / h, h / w) >= 10 THEN 'THIN_ASPECT' END], lambda v: v IS NOT NULL) AS flags FROM b)"""
 
 
 @registry.query(_FLAG_SQL + " SELECT l_orderkey, l_linenumber, array_to_string(flags, ';') AS flags FROM f WHERE len(flags) > 0")
@@ -77,10 +77,13 @@ def first_n_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.first_per_class(table(spark, sf_dir, "events"), "event_type", [F.col("ts"), F.col("event_id")], 5).select("event_type", "event_id", "rank_no")
 
 
-@registry.query("SELECT event_id FROM events ORDER BY value > 90 DESC NULLS LAST, event_id LIMIT 25")
+@registry.query("SELECT count(*) AS n, least(40, (SELECT count_if(value > 90) FROM events)) AS flagged, least(40, (SELECT count_if(value > 90) FROM events)) AS flagged_again, count(*) AS distinct_rows FROM (SELECT * FROM events LIMIT 40)")
 def flagged_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagged rows first; the key stands in for the hash, so that SQL gives the same."""
-    return table(spark, sf_dir, "events").orderBy((F.col("value") > 90).desc_nulls_last(), "event_id").limit(25).select("event_id")
+    """Flagged rows first, in a seeded order; SQL can't have that hash, but knows how many of the sample are flagged, and that another seed has as many."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.coalesce(F.col("value") > 90, F.lit(False)).alias("flagged"))
+    one, other = (audit.flagged_first(rows, "flagged", "event_id", 40, seed) for seed in (42, 43))
+    count = one.agg(F.count("*").alias("n"), F.count_if("flagged").alias("flagged"), F.count_distinct("event_id").alias("distinct_rows"))
+    return count.join(F.broadcast(other.agg(F.count_if("flagged").alias("flagged_again")))).select("n", "flagged", "flagged_again", "distinct_rows")  # a row each
 
 
 @registry.query("""SELECT page, place, event_id FROM (SELECT event_id, CAST((row_number() OVER (ORDER BY value DESC, event_id) - 1) // 12 AS INTEGER) AS page, CAST((row_number() OVER (ORDER BY value DESC, event_id) - 1) % 12 AS INTEGER) AS place

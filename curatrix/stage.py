@@ -47,6 +47,10 @@ class Stages:
         self.paths[id(out)] = (out, path)
         return out
 
+    def together(self, dfs: list[DataFrame]) -> DataFrame:
+        """Written tables of one schema as one, in one scan."""
+        return self.spark.read.schema(dfs[0].schema).parquet(*(self.paths[id(df)][1] for df in dfs))
+
     def keep(self, written: DataFrame, view: DataFrame) -> None:
         """From now on the written table is known by a view of it."""
         self.paths[id(view)] = (view, self.paths.pop(id(written))[1])

@@ -42,9 +42,9 @@ def test_label_line(spark):
 def test_flags(spark):
     flag = lambda b, w=640, h=640: one(spark, boxes.outlier_flags(*map(F.col, (B, W, H))), b=b, w=w, h=h)
     assert flag([100.0, 100.0, 50.0, 50.0]) == []
-    assert flag([100.0, 100.0, 3.9, 50.0]) == ["TINY", "THIN"] and flag([100.0, 100.0, 4.0, 39.0]) == ["TINY"][:0] + (["TINY"] if 156 / 640**2 < 1e-4 else [])
+    assert flag([100.0, 100.0, 3.9, 50.0]) == ["TINY", "THIN_ASPECT"] and flag([100.0, 100.0, 4.0, 39.0]) == ["TINY"][:0] + (["TINY"] if 156 / 640**2 < 1e-4 else [])
     assert "LARGE" not in flag([10.0, 10.0, 320.0, 320.0]) and "LARGE" in flag([10.0, 10.0, 321.0, 320.0])
-    assert flag([6.4, 100.0, 50.0, 50.0]) == ["BOUNDARY"] and flag([100.0, 100.0, 100.0, 10.0]) == ["THIN"]
+    assert flag([6.4, 100.0, 50.0, 50.0]) == ["BOUNDARY"] and flag([100.0, 100.0, 100.0, 10.0]) == ["THIN_ASPECT"]
 
 
 def test_iou(spark):

@@ -160,13 +160,24 @@ def test_groups_and_cleanup(spark):
     assert actions == {"A": "PROPOSE_EXCLUDE_FROM_TRAIN", "B": "RETAIN_UNCHANGED_PENDING_VAL_TEST_REVIEW", "C": "RETAIN_UNCHANGED_PENDING_VAL_TEST_REVIEW", "D": "PROPOSE_EXCLUDE_FROM_TRAIN", "E": "RETAIN_HELD_OUT_UNCHANGED"}
     removed = review.removals(members, groups, spark.createDataFrame([("S",), ("A",)], "node string"), "root", "node", "split")
     assert {r["node"]: r["reason"][:3] for r in removed.collect()} == {"S": "STR", "A": "STR", "B": "VAL", "D": "CON"}
-    kept = {r["node"]: r["counterparts"] for r in review.retained_counterparts(members, removed, "root", "node", "split").collect()}
-    assert kept == {"A": "C", "B": "C", "D": "E"}
+    roles = {(r["root"], r["node"]): r["role"] for r in review.retained_counterparts(members, removed, "root", "node", "split").collect()}
+    assert roles == {("A", "A"): "REMOVED", ("A", "B"): "REMOVED", ("A", "C"): "COUNTERPART", ("D", "D"): "REMOVED", ("D", "E"): "COUNTERPART"}
+    assert sorted(tuple(r) for r in review.split_sets(groups).collect()) == [("train;val", 1, 2), ("train;val;test", 1, 3)]
     assert {r["root"]: r["group_id"] for r in review.group_numbers(roots, "root", "node").collect()} == {"A": "G001", "D": "G002"}
-    assert review.torn_pairs(pairs.where("a < b"), roots, "a", "b", "node", "root").select("b").collect() == [("X",)] or review.torn_pairs(pairs.where("a < b"), roots, "a", "b", "node", "root").collect() == []
+    judged = spark.createDataFrame([("A", "C"), ("E", "D"), ("A", "D"), ("A", "Q")], "a string, b string")
+    assert sorted(tuple(r) for r in review.torn_pairs(judged, roots, "a", "b", "node", "root").collect()) == [("A", "D"), ("A", "Q")]
     assert review.connected(pairs.limit(0), "a", "b").collect() == []
 
 
+def test_outliers_and_their_annotations(spark):
+    outliers = spark.createDataFrame([("i", 1, 9.0), ("i", 2, 8.0), ("j", 1, 7.0)], "image string, ident int, ratio double")
+    annotations = spark.createDataFrame([("i", 1, 5, "late"), ("i", 1, 2, "first"), ("j", 1, 0, None), ("k", 1, 0, "other")], "image string, ident int, position int, name string")
+    got = {(r["image"], r["ident"]): (r["position"], r["name"]) for r in review.boxes_of_outliers(outliers, annotations, ["image", "ident"]).collect()}
+    assert got == {("i", 1): (2, "first"), ("i", 2): (None, None), ("j", 1): (0, None)}
+    shown = review.displayed_boxes(annotations, outliers, ["image"], "ident").collect()
+    assert sorted((r["image"], r["ident"], r["selected_outlier"]) for r in shown) == [("i", 1, True), ("i", 1, True), ("j", 1, True)]
+
+
 def test_metadata(spark):
     pairs = spark.createDataFrame([("D001", "x"), ("D002", "y"), ("D003", None)], "pair_id string, file_a string")
     meta = spark.createDataFrame([("D001", "x"), ("D002", "z"), ("D003", None)], "pair_id string, file_a string")
