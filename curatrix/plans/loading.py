@@ -27,8 +27,8 @@ r AS (SELECT *, CASE WHEN misquoted THEN 'QUOTING' WHEN NOT five THEN 'COLUMNS'
 """
 
 
-def parsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rejects.parse_lines(table(spark, sf_dir, "label_lines"), "line_id", "line", source=("label_file", "line_no"))
+def parsed_lines(spark: SparkSession, sf_dir: str, *source: str) -> DataFrame:
+    return rejects.parse_lines(table(spark, sf_dir, "label_lines"), "line_id", "line", source=source)
 
 
 @registry.query(_LINES_SQL + "SELECT line_id, reason FROM r WHERE reason IS NOT NULL")
@@ -39,7 +39,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query(_LINES_SQL + "SELECT line_id, label_file, line_no, line, reason FROM r WHERE reason IS NOT NULL")
 def p3_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The failed lines with their files and numbers."""
-    return rejects.failed(parsed_lines(spark, sf_dir))
+    return rejects.failed(parsed_lines(spark, sf_dir, "label_file", "line_no"))
 
 
 @registry.query(_LINES_SQL + "SELECT line_id, CAST(c AS INTEGER) AS class_id, p[1] AS x_center, p[2] AS y_center, p[3] AS width, p[4] AS height FROM r WHERE reason IS NULL")
