@@ -28,9 +28,9 @@ class Registry:
 
 
 def _registries() -> list[Registry]:
-    from . import curation, dedup, evaluation, loading, tables
+    from . import curation, dedup, evaluation, files, loading, tables
 
-    return [m.registry for m in (dedup, tables, loading, curation, evaluation)]
+    return [m.registry for m in (dedup, tables, loading, curation, files, evaluation)]
 
 
 def queries() -> dict[str, Query]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..stage import Stages
 
 # fixed values: the suffixes that count as images
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".webp", ".tif", ".tiff")
@@ -18,9 +19,43 @@ def _fs(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+def _scan(batches):
+    """What each folder holds: its folders and its empty files."""
+    import os
+
+    import pandas as pd
+
+    for batch in batches:
+        rows = []
+        for folder in batch["path"]:
+            with os.scandir(folder) as found:
+                for x in found:
+                    if x.is_dir():
+                        rows.append((x.path, True, 0.0))
+                    elif x.stat().st_size == 0 and not x.name.startswith(("_", ".")):
+                        rows.append((x.path, False, x.stat().st_mtime))
+        yield pd.DataFrame(rows, columns=["path", "folder", "modified"])
+
+
 def empty_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """(path, modified) of the files of no bytes, which Spark's file sources leave out. The driver walks the listing, as it does for any file source."""
+    """(path, modified) of the files of no bytes, which Spark's file sources leave out.
+
+    Folders that the executors mount are listed by them, the folders of one depth at a time, and only how many there are reaches the driver. Of other
+    file systems the driver walks the listing, as it does for any file source.
+    """
     fs, target = _fs(spark, root)
+    if fs.getUri().getScheme() == "file":
+        stages = Stages(spark)
+        level = spark.createDataFrame([(target.toUri().getPath(),)], "path string")
+        parts = []
+        while True:
+            parts.append(stages.write(level.mapInPandas(_scan, "path string, folder boolean, modified double"), "listing"))
+            folders = parts[-1].where("folder").select("path")
+            n = folders.count() if recursive else 0
+            if not n:
+                break
+            level = folders.repartition(min(n, 1024))
+        return stages.together(parts).where("NOT folder").select(F.concat(F.lit("file:"), "path").alias("path"), F.timestamp_seconds("modified").alias("modified"))
     found, each = [], fs.listFiles(target, recursive)
     while each.hasNext():
         status = each.next()
@@ -80,7 +115,11 @@ def overwrite_only(spark: SparkSession, path: str, allowed: str) -> str:
 
 
 def copy_files(files: DataFrame, root_in: str, root_out: str) -> DataFrame:
-    """Copies the files (path, relative) between folders that all executors share, byte for byte; gives (path, size, sha256) of the copies."""
+    """Copies the files (path, relative) between folders that all executors share, byte for byte; gives (path, size, sha256) of the copies.
+
+    Each copy is read again and held against its source; where files has a column sha256, against that too. A difference is an error.
+    """
+    known = F.col("sha256") if "sha256" in files.columns else F.lit(None).cast("string")
 
     def run(batches):
         import hashlib
@@ -91,15 +130,18 @@ def copy_files(files: DataFrame, root_in: str, root_out: str) -> DataFrame:
 
         for batch in batches:
             rows = []
-            for path in batch["path"]:
+            for path, want in zip(batch["path"], batch["want"]):
                 target = Path(root_out, path)
                 target.parent.mkdir(parents=True, exist_ok=True)
                 shutil.copyfile(Path(root_in, path), target)
-                with target.open("rb") as f:
-                    rows.append((path, target.stat().st_size, hashlib.file_digest(f, "sha256").hexdigest()))
+                with Path(root_in, path).open("rb") as a, target.open("rb") as b:
+                    source, copy = (hashlib.file_digest(f, "sha256").hexdigest() for f in (a, b))
+                if copy != source or (want and copy != want):
+                    raise RuntimeError(f"the copy of {path} isn't what was to be copied")
+                rows.append((path, target.stat().st_size, copy))
             yield pd.DataFrame(rows, columns=["path", "size", "sha256"])
 
-    return files.select("path").mapInPandas(run, "path string, size bigint, sha256 string")
+    return files.select("path", known.alias("want")).mapInPandas(run, "path string, size bigint, sha256 string")
 
 
 def free_space_suffices(path: str, needed: int, reserve: int = 100 << 20) -> bool:

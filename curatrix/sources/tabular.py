@@ -7,8 +7,6 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import refuse_if_exists
-
 BOM = "﻿"
 
 REVIEW = "pair_id string, file_a string, split_a string, file_b string, split_b string, dhash_distance int, rmse double, likely_same_source string, human_decision string, notes string, annotation_flag string"
@@ -17,11 +15,11 @@ HISTORY = "epoch int, `train/box_loss` double, `train/cls_loss` double, `train/d
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """With a header, by name; a byte-order mark is no part of the first name."""
-    return spark.read.option("header", "true").option("enforceSchema", "false").option("escape", '"').option("ignoreLeadingWhiteSpace", "true").schema(schema).csv(path)
+    return spark.read.option("header", "true").option("enforceSchema", "false").option("escape", '"').option("multiLine", "true").schema(schema).csv(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("header", "true").option("escape", '"').csv(path)
+    df.write.mode(mode).option("header", "true").option("escape", '"').option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
 
 
 def write_checked(df: DataFrame, path: str, schema: str, pending: tuple[str, str] | None = None) -> int:
@@ -47,9 +45,15 @@ def csv_bytes(df: DataFrame, columns: list[str]) -> bytes:
     return (BOM + text.getvalue()).encode()
 
 
-def _text(spark: SparkSession, path: str, text: str) -> None:
+def _text(spark: SparkSession, path: str, text: str, exclusive: bool = False) -> None:
+    """Where exclusive, the file system itself refuses to create what is there, so of two writers one fails."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).create(fs_path, True)
+    try:
+        out = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).create(fs_path, not exclusive)
+    except Exception as e:
+        if exclusive and "FileAlreadyExists" in str(e):
+            raise FileExistsError(path) from e
+        raise
     try:
         out.write(bytearray(text.encode()))
     finally:
@@ -58,9 +62,7 @@ def _text(spark: SparkSession, path: str, text: str) -> None:
 
 def write_json(spark: SparkSession, path: str, value: object, exclusive: bool = False) -> None:
     """One document with sorted keys; exclusive: an error if it is there."""
-    if exclusive:
-        refuse_if_exists(spark, path)
-    _text(spark, path, json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False) + "\n")
+    _text(spark, path, json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False) + "\n", exclusive)
 
 
 def write_data_yaml(spark: SparkSession, path: str, root: str, names: dict[int, str]) -> None:

@@ -52,14 +52,27 @@ def test_manifest_copy_and_guards(spark, tmp_path):
     assert files.free_space_suffices(str(tmp_path), 0) and not files.free_space_suffices(str(tmp_path), 1 << 60)
 
 
+def test_empty_files_and_changed_copies(spark, tmp_path):
+    for name in ("in/e", "in/a/e1", "in/a/b/e2", "in/a/b/_hidden", "in/c/.e3"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"")
+    (tmp_path / "in/a/full").write_bytes(b"1")
+    root = str(tmp_path / "in")
+    assert sorted(r["path"].rpartition("/")[2] for r in files.empty_files(spark, root).collect()) == ["e", "e1", "e2"]
+    assert [r["path"].rpartition("/")[2] for r in files.empty_files(spark, root, recursive=False).collect()] == ["e"]
+    wrong = files.manifest(spark, root).where("path = 'a/full'").withColumn("sha256", F.lit("0" * 64))
+    with pytest.raises(Exception, match="isn't what was to be copied"):
+        files.copy_files(wrong, root, str(tmp_path / "out")).collect()
+
+
 def test_csv(spark, tmp_path):
     schema = "pair_id string, notes string, human_decision string"
-    df = spark.createDataFrame([("D1", 'say "a", b', "PENDING"), ("D2", None, "PENDING")], schema)
+    df = spark.createDataFrame([("D1", 'say "a", b', "PENDING"), ("D2", None, "PENDING"), ("D3", "two\nlines", "PENDING")], schema)
     path = str(tmp_path / "review")
-    assert tabular.write_checked(df, path, schema, ("human_decision", "PENDING")) == 2
+    assert tabular.write_checked(df, path, schema, ("human_decision", "PENDING")) == 3
     assert sorted(map(tuple, tabular.read_csv(spark, path, schema).collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
     (tmp_path / "bom.csv").write_bytes(tabular.csv_bytes(df, ["pair_id", "human_decision"]))
-    assert [r["pair_id"] for r in tabular.read_csv(spark, str(tmp_path / "bom.csv"), "pair_id string, human_decision string").collect()] == ["D1", "D2"]
+    assert [r["pair_id"] for r in tabular.read_csv(spark, str(tmp_path / "bom.csv"), "pair_id string, human_decision string").collect()] == ["D1", "D2", "D3"]
     with pytest.raises(RuntimeError):
         tabular.write_checked(df, str(tmp_path / "other"), schema, ("human_decision", "DONE"))
 
