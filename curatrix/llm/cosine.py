@@ -8,12 +8,10 @@ so lists of what remains meet term by term; exact dot products of the whole vect
 
 from __future__ import annotations
 
-from itertools import combinations
-from math import comb
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import near
 from ..stage import Stages
 
 
@@ -68,26 +66,11 @@ def join_vectors(left: DataFrame, right: DataFrame, threshold: float, keep: Colu
     return both.select("left_id", "right_id", product.alias("cosine")).where(F.col("cosine") >= threshold - 1e-9)
 
 
-def bit_vectors(prints: DataFrame, bits: int = 64, distance: int = 4, agreeing: int = 2) -> tuple[DataFrame, float]:
-    """Vectors (id, v) of fingerprints, each once, and the cosine that any two with at most `distance` different bits reach.
-
-    The bits are cut into distance + agreeing blocks; each choice of `agreeing` blocks with its bits is a term, all of equal weight. Of two
-    such fingerprints at least `agreeing` blocks are equal, so they share a term. More agreeing blocks make terms longer and more: 5 terms of 12 or 13 bits, 15 of 20 to 22,
-    35 of 27 to 28.
-    """
-    parts = distance + agreeing
-    edges = [round(bits * k / parts) for k in range(parts + 1)]
-    block = [f"(shiftrightunsigned(id, {lo}) & {(1 << (hi - lo)) - 1}L)" for lo, hi in zip(edges, edges[1:])]
-    choices = list(combinations(range(parts), agreeing))
-
-    def term(number: int, chosen: tuple[int, ...]) -> str:
-        value = f"{number}L"
-        for k in chosen:
-            value = f"(shiftleft({value}, {edges[k + 1] - edges[k]}) | {block[k]})"
-        return value
-
-    terms = ", ".join(f"named_struct('term', {term(n, c)}, 'w', {len(choices) ** -0.5!r}D)" for n, c in enumerate(choices))
-    return prints.selectExpr("id", f"array({terms}) AS v"), 1.0 / len(choices)
+def bit_vectors(prints: DataFrame, distance: int, agreeing: int) -> tuple[DataFrame, float]:
+    """Vectors (id, v) of 64-bit fingerprints, each once, and the cosine that any two with at most `distance` different bits reach: their block terms, all of equal weight."""
+    terms = near.block_terms("id", distance, agreeing)
+    listed = ", ".join(f"named_struct('term', {t}, 'w', {len(terms) ** -0.5!r}D)" for t in terms)
+    return prints.selectExpr("id", f"array({listed}) AS v"), 1.0 / len(terms)
 
 
 def equal_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -96,21 +79,11 @@ def equal_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return join_vectors(one(left), one(right), 1.0).select("left_id", "right_id")
 
 
-def best_agreeing(left: int, right: int, distance: int, bits: int = 64) -> int:
-    """How many blocks a term should have for so many fingerprints: what is listed, each some eight times as costly, and what meets by chance add up to the least."""
-
-    def cost(agreeing: int) -> float:
-        terms = comb(distance + agreeing, agreeing)
-        return terms * (8.0 * (left + right) + left * right * 2.0 ** (-bits * agreeing / (distance + agreeing)))
-
-    return min(range(1, 6), key=cost)
-
-
 def near_pairs(left: DataFrame, right: DataFrame, distance: int = 4, agreeing: int | None = None) -> DataFrame:
     """(left_id, right_id) of 64-bit values, each once a side, that differ in at most `distance` bits; the exact count of bits decides."""
-    agreeing = agreeing or best_agreeing(left.count(), right.count(), distance)
-    vectors, least = bit_vectors(left, distance=distance, agreeing=agreeing)
-    other, _ = bit_vectors(right, distance=distance, agreeing=agreeing)
+    agreeing = agreeing or near.best_agreeing(left.count(), right.count(), distance)
+    vectors, least = bit_vectors(left, distance, agreeing)
+    other, _ = bit_vectors(right, distance, agreeing)
     return join_vectors(vectors, other, least, F.bit_count(F.col("left_id").bitwiseXOR(F.col("right_id"))) <= distance).select("left_id", "right_id")
 
 
@@ -120,11 +93,12 @@ def split_overlaps(records: DataFrame, ident: str, split: str, exact: str, print
     Each distinct value is joined once, however many records have it; then pairs of values become pairs of records. Records whose split is
     null, or whose value is, take no part in that; repeated rows count once. `how` is exact if the exact values agree, else near.
     """
-    r = records.select(F.col(ident).alias("r"), (F.col(split) == train).alias("t"), F.col(exact).alias("exact"), F.col(prints).alias("near")).where("r IS NOT NULL AND t IS NOT NULL").distinct()
     stages = Stages(records.sparkSession)
+    r = records.select(F.col(ident).alias("r"), (F.col(split) == train).alias("t"), F.col(exact).alias("exact"), F.col(prints).alias("near"))
+    r = stages.write(r.where("r IS NOT NULL AND t IS NOT NULL AND (exact IS NOT NULL OR near IS NOT NULL)").distinct(), "records")
     found = []
     for name, join in (("exact", equal_pairs), ("near", lambda a, b: near_pairs(a, b, distance))):
-        have = r.select("r", "t", F.col(name).alias("id")).dropna().distinct()
+        have = r.select("r", "t", F.col(name).alias("id")).dropna()
         values = [stages.write(have.where("t" if t else "NOT t").select("id").distinct(), "values") for t in (False, True)]
         pairs = join(*values)
         held = have.where("NOT t").select(F.col("r").alias("held_out"), F.col("id").alias("left_id"))

@@ -4,6 +4,7 @@ import random
 import pytest
 
 from curatrix.llm import cosine
+from curatrix.operators import near
 
 
 def vectors(spark, rows):
@@ -57,7 +58,7 @@ def test_near_values_whatever_the_blocks(spark, agreeing):
     df = lambda rows: spark.createDataFrame([(v,) for v in dict.fromkeys(rows)], "id bigint")
     got = {(r["left_id"], r["right_id"]) for r in cosine.near_pairs(df(left), df(right), 4, agreeing).collect()}
     assert got == {(a, b) for a in left for b in right if ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
-    assert cosine.best_agreeing(1000, 1000, 4) < cosine.best_agreeing(10**9, 10**9, 4)
+    assert near.best_agreeing(1000, 1000, 4) < near.best_agreeing(10**9, 10**9, 4)
 
 
 def test_overlaps_of_splits(spark):
