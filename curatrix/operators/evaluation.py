@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes, scalars
+from ..stage import as_list
 
 BOX = ("x1", "y1", "x2", "y2")
 
@@ -70,7 +71,7 @@ def per_class(flagged: DataFrame, truth: DataFrame, classes: DataFrame) -> DataF
     """(class_id, support, tp, fp, fn, precision, recall, f1) for every class of the list, and with class_id null for all of them together (micro)."""
     n = flagged.groupBy("class_id").agg(F.count_if("tp").alias("tp"), F.count_if(F.expr("NOT tp")).alias("fp"))
     s = truth.groupBy("class_id").agg(F.count("*").alias("support"))
-    every = F.broadcast(classes.select("class_id")).join(n, "class_id", "left").join(s, "class_id", "left").fillna(0, ["tp", "fp", "support"])  # a class list
+    every = as_list(classes.select("class_id")).join(n, "class_id", "left").join(s, "class_id", "left").fillna(0, ["tp", "fp", "support"])  # a class list
     sums = every.groupingSets([["class_id"], []], "class_id").agg(*(F.sum(c).alias(c) for c in ("support", "tp", "fp")))
     return _scores(sums.withColumn("fn", F.col("support") - F.col("tp")))
 
@@ -167,7 +168,7 @@ def incomplete(images: DataFrame, processed: DataFrame) -> DataFrame:
 def class_histogram(pred: DataFrame, column: str, classes: DataFrame) -> DataFrame:
     """(column, n) for every class of the list, zeros included."""
     n = pred.groupBy(column).agg(F.count("*").alias("n"))
-    return F.broadcast(classes.select(column)).join(n, column, "left").fillna(0, ["n"])
+    return as_list(classes.select(column)).join(n, column, "left").fillna(0, ["n"])
 
 
 THRESHOLDS = [k / 100 for k in range(50, 100, 5)]

@@ -6,22 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes
-from ..stage import Stages
+from ..stage import Stages, as_list
 
 
 def map_classes(df: DataFrame, name: str, mapping: DataFrame) -> DataFrame:
     """Rows whose source name is in the map (source_name, class_id, class_name), with the class. All other names are dropped, excluded by name or not.
 
-    The map is a class list, broadcast as the fixed list that it is.
+    The map is a class list.
     """
     m = mapping.select(F.col("source_name").alias(name), "class_id", "class_name")
-    return df.drop("class_id", "class_name").join(F.broadcast(m), name)
+    return df.drop("class_id", "class_name").join(as_list(m), name)
 
 
 def split_by_scope(predictions: DataFrame, raw_name: str, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Predictions of a canonical class, with it, and those out of scope."""
     m = mapping.select(F.col("source_name").alias(raw_name), "class_id", "class_name")
-    tagged = predictions.drop("class_id", "class_name").join(F.broadcast(m), raw_name, "left")
+    tagged = predictions.drop("class_id", "class_name").join(as_list(m), raw_name, "left")
     return tagged.where("class_id IS NOT NULL"), tagged.where("class_id IS NULL").drop("class_id", "class_name")
 
 
@@ -42,7 +42,7 @@ def split_stats(images: DataFrame, objects: DataFrame, classes: DataFrame) -> Da
 
     images has (split, image_id), objects (split, image_id, class_id), classes (class_id, class_name); the latter is a fixed list.
     """
-    every = images.select("split").distinct().join(F.broadcast(classes.select("class_id", "class_name")))  # a few splits by a few classes
+    every = images.select("split").distinct().join(as_list(classes.select("class_id", "class_name")))  # a few splits by a few classes
     found = objects.groupBy("split", "class_id").agg(F.count("*").alias("objects"), F.count_distinct("image_id").alias("images"))
     return every.join(found, ["split", "class_id"], "left").fillna(0, ["objects", "images"])
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..stage import as_list
 
 IMAGE = "struct<id:bigint,file_name:string,width:int,height:int,source_split:string,source_image_id:bigint,sha256:string>"
 ANNOTATION = "struct<id:bigint,image_id:bigint,category_id:int,bbox:array<double>,area:double,iscrowd:int,source_annotation_id:bigint>"
@@ -45,7 +46,7 @@ def with_annotations(images: DataFrame, annotations: DataFrame) -> DataFrame:
 
 def unknown_categories(annotations: DataFrame, categories: DataFrame) -> DataFrame:
     """Annotations whose category the document doesn't list."""
-    return annotations.join(F.broadcast(categories.select("split", F.col("id").alias("category_id"))), ["split", "category_id"], "left_anti")  # a class list
+    return annotations.join(as_list(categories.select("split", F.col("id").alias("category_id"))), ["split", "category_id"], "left_anti")  # a class list
 
 
 def to_source(derived: DataFrame, raw: DataFrame) -> DataFrame:

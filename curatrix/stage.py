@@ -26,14 +26,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_kept: set[str] = set()
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/curatrix-{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/curatrix-{tag}-{uuid.uuid4().hex}"
+    _kept.add(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes all that this driver has written to the shared folder and not deleted yet, once no result that reads it is needed any more. Gives the number of paths."""
+    paths = list(_kept)
+    for path in paths:
+        delete(spark, path)
+    return len(paths)
+
+
+LIST_ROWS = 100_000
+
+
+def as_list(df: DataFrame, rows: int = LIST_ROWS) -> DataFrame:
+    """A table that should be a short list, for a join: broadcast if it has no more than so many rows, which is counted; else left to the planner."""
+    return df.hint("broadcast") if df.limit(rows + 1).count() <= rows else df
 
 
 class Stages:
     """Writes tables and deletes those that no later step reads.
 
-    Tables that a result still reads stay until the cluster empties the folder, as it does with checkpoints.
+    Tables that a result still reads stay until `release` is called, or the cluster empties the folder, as it does with checkpoints.
     """
 
     def __init__(self, spark: SparkSession):
@@ -62,6 +83,7 @@ class Stages:
 
 
 def delete(spark: SparkSession, path: str) -> None:
+    _kept.discard(path)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
