@@ -32,10 +32,7 @@ def decompose(links: DataFrame, beta: float, seed: int, stages: Stages) -> tuple
     while True:
         news = offers.groupBy("node").agg(F.min("by").alias("by")).where(f"by < struct({start('node')} AS at, node AS center)")
         if changes:
-            before = changes[0]
-            for more in changes[1:]:
-                before = before.unionByName(more)
-            known = before.groupBy("node").agg(F.min("by").alias("known"))
+            known = stages.together(changes).groupBy("node").agg(F.min("by").alias("known"))
             news = news.join(small(known, total), "node", "left").where("known IS NULL OR by < known").select("node", "by")
         fresh = stages.write(news, "reached")
         n = fresh.count()
@@ -44,10 +41,7 @@ def decompose(links: DataFrame, beta: float, seed: int, stages: Stages) -> tuple
             break
         total += n
         offers = each.join(small(fresh.selectExpr("node AS src", "by"), n), "src").selectExpr("dst AS node", "struct(by.at + 1 AS at, by.center AS center) AS by")
-    every = changes[0]
-    for more in changes[1:]:
-        every = every.unionByName(more)
-    moved = stages.write(every.groupBy("node").agg(F.min("by").alias("by")).selectExpr("node", "by.center AS center"), "moved")
+    moved = stages.write(stages.together(changes).groupBy("node").agg(F.min("by").alias("by")).selectExpr("node", "by.center AS center"), "moved")
     stages.drop(*changes)
     return moved, moved.count()
 
