@@ -159,9 +159,9 @@ def positional_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy(problem.alias("problem")).agg(F.count("*").alias("n"))
 
 
-_PLACED = f"""{_I}, {_L}, a AS (SELECT DISTINCT line_id, stem, line_no AS position, class_id, x_center, y_center, w, h FROM lab JOIN (SELECT DISTINCT line_id, line_no FROM label_lines) USING (line_id) JOIN (SELECT DISTINCT stem FROM images) USING (stem)),
+_PLACED = rf"""{_I}, {_L}, a AS (SELECT DISTINCT line_id, stem, line_no AS position, class_id, x_center, y_center, w, h FROM lab JOIN (SELECT DISTINCT line_id, line_no FROM label_lines) USING (line_id) JOIN (SELECT DISTINCT stem FROM images) USING (stem)),
 l AS (SELECT * FROM (SELECT path, content, row_number() OVER (PARTITION BY file_id ORDER BY written_at DESC, content DESC) AS r FROM label_files) WHERE r = 1),
-t AS (SELECT stem, CAST(i AS INTEGER) AS position, string_split(trim(regexp_replace(ls[i], '\s+', ' ', 'g')), ' ') AS f FROM (SELECT regexp_extract(regexp_extract(path, '([^/\\\\]*)$', 1), '^(.+)[.][^.]*$', 1) AS stem, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT path, list_filter(string_split_regex(content, '\r\n?|\n'), lambda s: regexp_matches(s, '\S')) AS ls FROM l))),
+t AS (SELECT stem, CAST(i AS INTEGER) AS position, string_split(trim(regexp_replace(ls[i], '\s+', ' ', 'g')), ' ') AS f FROM (SELECT regexp_extract(regexp_extract(path, '([^/\\]*)$', 1), '^(.+)[.][^.]*$', 1) AS stem, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT path, list_filter(string_split_regex(content, '\r\n?|\n'), lambda s: regexp_matches(s, '\S')) AS ls FROM l))),
 b AS (SELECT stem, position, CAST(f[1] AS BIGINT) AS cb, list_transform(f[2:5], lambda x: CAST(x AS DOUBLE)) AS v FROM t WHERE len(f) = 5 AND regexp_full_match(f[1], '[+-]?[0-9]+') AND len(list_filter(f[2:5], lambda x: NOT regexp_full_match(x, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?'))) = 0 AND stem IN (SELECT stem FROM images)),
 j AS (SELECT coalesce(a.stem, b.stem) AS stem, coalesce(a.position, b.position) AS position, CASE WHEN cb IS NULL THEN 'MISSING_LABEL' WHEN class_id IS NULL THEN 'MISSING_ANNOTATION' WHEN class_id <> cb THEN 'CLASS'
   WHEN NOT (abs(v[1] - x_center) <= 2e-6 + 1e-5 * abs(x_center) AND abs(v[2] - y_center) <= 2e-6 + 1e-5 * abs(y_center) AND abs(v[3] - w) <= 2e-6 + 1e-5 * abs(w) AND abs(v[4] - h) <= 2e-6 + 1e-5 * abs(h)) THEN 'BOX' END AS problem
