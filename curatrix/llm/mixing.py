@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..stage import Stages
+from ..stage import Stages, as_list
+
+
+BUCKETS = 4096
 
 
 def water_fill(sources: list[tuple[float, float, float]], total: float) -> list[float]:
@@ -30,7 +33,7 @@ def water_fill(sources: list[tuple[float, float, float]], total: float) -> list[
 
 
 def source_key(column):
-    return F.lower(F.trim(column))
+    return F.lower(F.regexp_replace(column, r"^\s+|\s+$", ""))
 
 
 class Mix:
@@ -47,7 +50,7 @@ class Mix:
         self.sized = sized.select(F.col(id_col).alias("id"), source_key(F.col(source_col)).alias("key"), F.coalesce(F.col(size_col), F.lit(0)).cast("bigint").alias("size"))
         wanted = targets.select(F.col("source").alias("name"), source_key(F.col("source")).alias("key"), F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("max_repeats", F.lit(0)).alias("most"))
         by_key = self.sized.groupBy("key").agg(F.sum("size").alias("size"), F.count("*").alias("records"))
-        known = F.broadcast(wanted.where("key IS NOT NULL"))  # as many rows as there are target sources
+        known = as_list(wanted.where("key IS NOT NULL"))
         matched = by_key.join(known, "key", "left").groupBy("name", "key", "weight", "most").agg(F.sum("size").alias("size"), F.sum("records").alias("records"))
         # unlisted sources, however many, become one row, for the size of all
         totals = matched.groupBy("name", F.when(F.col("name").isNotNull(), F.col("key")).alias("key")).agg(F.sum("size").alias("size"), F.sum("records").alias("records")).collect()
@@ -72,15 +75,25 @@ class Mix:
     def uses(self) -> DataFrame:
         """(id, source, size, uses): how often each record of a target source is used, if at all.
 
-        A source repeated r times uses each of its records floor(r) times, and once more those whose hash with the seed falls below the fraction,
-        so the share reached is as planned but for the spread of that sample. No record is used more than max_repeats times.
+        A source repeated r times uses each of its records floor(r) times, and some once more: in the order of their hashes with the seed, those up to the size that
+        is left to give, so the share reached is as planned but for part of one record. No record is used more than max_repeats times.
+        Sums by bucket of the hash tell which buckets are taken whole; only of the one bucket of a source in which its size is reached are records put in order.
         """
-        rows = [(t["key"], t["name"], g / size if size else 0.0, int(t["most"])) for t, (size, _), g in zip(self.targets, self.have, self.given) if t["key"] is not None]
-        plan = self.spark.createDataFrame(rows, "key string, source string, r double, most int")
-        drawn = F.pmod(F.xxhash64("id", "key", F.lit(self.seed)), F.lit(1 << 40)).cast("double") / float(1 << 40)
-        n = F.floor(F.col("r") + 1e-9)
-        uses = F.least(F.col("most"), n + (drawn < F.col("r") - n).cast("int")).cast("int")
-        used = self.sized.join(F.broadcast(plan), "key").withColumn("uses", uses).where("uses > 0")
+        rows = []
+        for t, (size, _), given in zip(self.targets, self.have, self.given):
+            if t["key"] is not None:
+                whole = min(int(t["most"]), int(given / size + 1e-9)) if size else 0
+                rows.append((t["key"], t["name"], whole, max(0.0, given - whole * size) if whole < t["most"] else 0.0))
+        plan = F.broadcast(self.spark.createDataFrame(rows, "key string, source string, whole int, more double"))  # as many rows as there are target sources
+        hashed = self.sized.join(plan, "key").withColumn("h", F.xxhash64("id", "key", F.lit(self.seed))).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
+        sums = hashed.groupBy("key", "bucket").agg(F.sum("size").alias("s"))
+        ends = sums.withColumn("upto", F.sum("s").over(Window.partitionBy("key").orderBy("bucket")))  # at most BUCKETS rows a source
+        placed = hashed.join(F.broadcast(ends), ["key", "bucket"])  # at most BUCKETS rows a source
+        inside = F.col("upto") - F.col("s") + F.sum("size").over(Window.partitionBy("key", "bucket").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0))
+        cut = (F.col("upto") > F.col("more")) & (F.col("upto") - F.col("s") < F.col("more"))
+        clear = placed.where(~cut).withColumn("extra", (F.col("upto") <= F.col("more")).cast("int"))
+        parted = placed.where(cut).withColumn("extra", (inside - F.col("size") / 2 <= F.col("more")).cast("int"))
+        used = clear.unionByName(parted).withColumn("uses", F.col("whole") + F.col("extra") * (F.col("more") > 0).cast("int")).where("uses > 0")
         return used.select(F.col("id").alias(self.id_col), "source", "size", "uses")
 
     def reached(self) -> DataFrame:

