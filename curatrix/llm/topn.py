@@ -33,10 +33,11 @@ def _bounds() -> list[Column]:
     return [F.count("*").alias("c"), F.min("s").alias("lo_s"), F.max("s").alias("hi_s"), F.min("i").alias("lo_i"), F.max("i").alias("hi_i")]
 
 
-def _cutoffs(rows: DataFrame, keys: list[str], n: int, ways: int, hot: bool) -> DataFrame:
-    """Lower bounds of the groups that hold more than n rows."""
+def _cutoffs(rows: DataFrame, keys: list[str], n: int, ways: int, hot: bool, held: list[DataFrame]) -> DataFrame:
+    """Lower bounds of the groups that hold more than n rows. What is cached on the way is added to `held`."""
     hint = F.broadcast if hot else lambda d: d.hint("shuffle_hash")
     state = rows.groupBy(*keys).agg(*_bounds()).where(F.col("c") > n).withColumn("need", F.lit(n).cast("bigint")).persist()
+    held.append(state)
     downward = Window.partitionBy(*keys).orderBy(F.desc("slot"))
     ended: list[DataFrame] = []
     while True:
@@ -53,6 +54,7 @@ def _cutoffs(rows: DataFrame, keys: list[str], n: int, ways: int, hot: bool) ->
             .select(*keys, "c", "lo_s", "hi_s", "lo_i", "hi_i", "need")
             .persist()
         )
+        held.append(state)
     out = ended[0]
     for more in ended[1:]:
         out = out.unionByName(more)
@@ -78,13 +80,19 @@ def top_n(df: DataFrame, keys: list[str], score: str, ident: str, n: int, ways:
     hot = F.broadcast(stages.write(src.groupBy(*g).agg(F.count("*").alias("c")).where(F.col("c") > many).select(*g).coalesce(1), "hot"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cold_rows = src.join(hot, g, "left_anti").repartition(width, *g).dropDuplicates([*g, "s", "i"]).persist()
+    held = [cold_rows]
     hot_rows = stages.write(src.join(hot, g, "left_semi").distinct(), "hotrows")
     rank = Window.partitionBy(*g).orderBy(F.desc("s"), F.desc("i"))
     parts = []
     for rows, is_hot in ((cold_rows, False), (hot_rows, True)):
-        cut = _cutoffs(rows, g, n, ways, is_hot)
+        cut = _cutoffs(rows, g, n, ways, is_hot, held)
         cut = F.broadcast(cut) if is_hot else cut.hint("shuffle_hash")
         kept = rows.join(cut, g, "left").where("lo_s IS NULL OR s > lo_s OR (s = lo_s AND i >= lo_i)")
         parts.append(kept.select(*g, "s", "i", F.row_number().over(rank).alias("rank_no")))
     ident_out = F.when(F.col("i") > -(2**63), F.bitwise_not("i")).cast(df.schema[ident].dataType).alias(ident)
-    return parts[0].unionByName(parts[1]).select(*(F.col(a).alias(k) for k, a in zip(keys, g)), "rank_no", ident_out, F.col("s").alias(score))
+    top = parts[0].unionByName(parts[1]).select(*(F.col(a).alias(k) for k, a in zip(keys, g)), "rank_no", ident_out, F.col("s").alias(score))
+    found = stages.write(top, "top")
+    for cached in held:
+        cached.unpersist()
+    stages.drop(hot_rows)
+    return found
