@@ -98,26 +98,38 @@ def _find_runs(least: int, gram: int, chars: int = 1 << 16):
     return run
 
 
-def _cut(least: int, whole: bool):
-    """From texts with the runs asked of them, the snippets, or the hashes of their windows."""
+def _cut(least: int, whole: bool, rows: int = 20_000):
+    """From texts with the runs asked of them, the snippets, or the hashes of their windows; some `rows` of them a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            owner = _owner_types(batch.schema)
+            held: list[list] = [[] for _ in range(len(owner) + (1 if whole else 2))]
+            types = [*owner.values(), pa.string()] if whole else [pa.binary(), *owner.values(), pa.int32()]
+            names = [*owner, "snippet"] if whole else ["window", *owner, "at"]
+
+            def flush() -> pa.RecordBatch:
+                out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, types)], names=names)  # noqa: B023
+                for c in held:  # noqa: B023
+                    c.clear()
+                return out
+
             for text, runs in zip(batch.column("text"), batch.column("runs").to_pylist()):
                 text = text.as_py()
-                if whole:
-                    yield pa.RecordBatch.from_pylist(
-                        [{k: r[k] for k in ("key", "content", "low", "high")} | {"snippet": text[r["first"] : r["first"] + r["n"] + least - 1]} for r in runs],
-                        schema=_snippet_schema(batch.schema),
-                    )
-                    continue
                 for r in runs:
-                    windows = range(r["n"])
-                    hashes = [xxhash.xxh3_128_digest(text[r["first"] + i : r["first"] + i + least].encode("utf-8", "surrogatepass")) for i in windows]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(hashes, pa.binary()), *(pa.array([r[k]] * r["n"], t) for k, t in _owner_types(batch.schema).items()), pa.array(windows, pa.int32())],
-                        names=["window", *_owner_types(batch.schema), "at"],
-                    )
+                    if whole:
+                        for c, v in zip(held, [*(r[k] for k in owner), text[r["first"] : r["first"] + r["n"] + least - 1]]):
+                            c.append(v)
+                    else:
+                        windows = range(r["n"])
+                        held[0] += [xxhash.xxh3_128_digest(text[r["first"] + i : r["first"] + i + least].encode("utf-8", "surrogatepass")) for i in windows]
+                        for c, k in zip(held[1:], owner):
+                            c += [r[k]] * r["n"]
+                        held[-1] += windows
+                    if len(held[0]) >= rows:
+                        yield flush()
+            if held[0]:
+                yield flush()
 
     return run
 
@@ -127,10 +139,6 @@ def _owner_types(schema: pa.Schema) -> dict[str, pa.DataType]:
     return {k: fields[k] for k in ("key", "content", "low", "high")}
 
 
-def _snippet_schema(schema: pa.Schema) -> pa.Schema:
-    return pa.schema([*_owner_types(schema).items(), ("snippet", pa.string())])
-
-
 def _match(least: int):
     """Rows come sorted by gram; a shard is held until its last snippet is there."""
 
@@ -163,7 +171,8 @@ def _match(least: int):
 
 
 def shared_windows(docs: DataFrame, id_col: str, text_col: str, least: int = 200, gram: int | None = None, shard_rows: int = 256, shard_chars: int = 1 << 17) -> DataFrame:
-    """(id, start, stop): character ranges of each record that occur in another record, each `least` long or longer.
+    """(id, start, stop, way): character ranges of each record that occur in another record, each `least` long or longer, and how they were found: EQUAL, all snippets of the
+    shard being equal, AUTOMATON or WINDOW, by the hash of each window in a shard too large for an automaton.
 
     Ranges of one record may overlap or touch. Nulls and texts shorter than `least` have none. A passage twice in one record isn't shared
     by that. Rows with a null id have no ranges; the same id in several rows counts as one record and as its rows' texts each.
@@ -197,9 +206,9 @@ def shared_windows(docs: DataFrame, id_col: str, text_col: str, least: int = 200
     windows = cut.where("wide").select("text", "runs").mapInArrow(_cut(least, False), f"window binary, {owner}, at int")
     twice = windows.groupBy("window").agg(F.min("low").alias("lo"), F.max("high").alias("hi")).where("lo <> hi").select("window")
     single = windows.join(twice, "window").select("key", "content", F.col("at").alias("a"), (F.col("at") + 1).alias("b"))
-    ranges = spans.unionByName(single)
-    found = mine.join(ranges, ["key", "content"]).select("id", (F.col("first") + F.col("a")).alias("start"), (F.col("first") + F.col("b") + least - 1).alias("stop"))
-    equal = mine.where("same").select("id", F.col("first").alias("start"), (F.col("first") + F.col("n") + least - 1).alias("stop"))
+    ranges = spans.withColumn("way", F.lit("AUTOMATON")).unionByName(single.withColumn("way", F.lit("WINDOW")))
+    found = mine.join(ranges, ["key", "content"]).select("id", (F.col("first") + F.col("a")).alias("start"), (F.col("first") + F.col("b") + least - 1).alias("stop"), "way")
+    equal = mine.where("same").select("id", F.col("first").alias("start"), (F.col("first") + F.col("n") + least - 1).alias("stop"), F.lit("EQUAL").alias("way"))
     return found.unionByName(equal)
 
 
