@@ -153,7 +153,8 @@ def p2_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT count(DISTINCT image_id) AS images, CAST(0 AS BIGINT) AS twice, CAST(0 AS BIGINT) AS torn_groups, (SELECT count(DISTINCT group_id) FROM gf JOIN i USING (f)) AS groups, true AS in_proportion FROM i"""
 )
 def p2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a right assignment comes to: every image in one split, no group of files in two, and shares of the images within 5 points of those wanted."""
+    """What a right assignment comes to: every image in one split, no group of files in two, and shares of the images within
+    5 points, and four standard deviations of a draw by image, of those wanted."""
     stages = Stages(spark)
     new = stages.write(p2_assigned(spark, sf_dir), "assigned")
     each = new.groupBy("image_id").agg(F.count("*").alias("n"), F.first("split").alias("split"))
@@ -162,7 +163,7 @@ def p2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = files.groupBy("group_id").agg((F.min("split") != F.max("split")).alias("torn")).agg(F.count("*").alias("groups"), F.count_if("torn").alias("torn_groups"))
     near = F.lit(True)
     for s, part in PARTS.items():
-        near = near & (F.abs(F.col(s) - part) < 0.05)
+        near = near & (F.abs(F.col(s) - part) < 0.05 + 4 * F.sqrt(F.lit(part * (1 - part)) / F.col("images")))
     return shares.join(F.broadcast(groups)).select("images", "twice", "torn_groups", "groups", near.alias("in_proportion"))  # a row each
 
 
@@ -232,9 +233,11 @@ def p9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a right mix comes to: shares within 0.5 % of those planned, or a longest record, no record used more often than allowed and none in two rows."""
     plan = mix(spark, sf_dir)
     uses = Stages(spark).write(plan.uses(), "uses")
-    docs = uses.groupBy("source", "doc_id").agg(F.count("*").alias("rows"), F.max("uses").alias("uses"), F.max("size").alias("size"), F.sum(F.col("size") * F.col("uses")).alias("used"))
-    got = docs.groupBy("source").agg(F.sum("used").alias("used"), F.max("uses").alias("most_uses"), F.count_if(F.col("rows") > 1).alias("twice"), F.max("size").alias("longest"))
-    both = plan.report().join(F.broadcast(got), "source", "left").fillna(0, ["used", "most_uses", "twice", "longest"])  # a row a source
+    docs = uses.groupBy("source", "doc_id").agg(F.count("*").alias("rows"), F.max("uses").alias("uses"), F.sum(F.col("size") * F.col("uses")).alias("used"))
+    got = docs.groupBy("source").agg(F.sum("used").alias("used"), F.max("uses").alias("most_uses"), F.count_if(F.col("rows") > 1).alias("twice"))
+    longest = plan.sized.groupBy("key").agg(F.max("size").alias("longest"))
+    both = plan.report().join(F.broadcast(got), "source", "left").withColumn("key", mixing.source_key(F.col("source"))).join(longest, "key", "left")  # a row a source
+    both = both.fillna(0, ["used", "most_uses", "twice", "longest"])
     off = F.abs(F.col("used") - F.col("given")) > F.greatest(0.005 * F.col("given"), F.col("longest"))
     return both.agg(F.count("*").alias("sources"), F.count_if(off).alias("off_share"), F.count_if(F.col("most_uses") > F.col("max_repeats")).alias("too_often"), F.sum("twice").alias("twice"))
 
