@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from curatrix.llm import mixing
@@ -43,3 +45,19 @@ def test_no_records_and_doubled_targets(spark):
     assert m.total == 0 and m.uses().collect() == [] and len(m.report().collect()) == 5
     with pytest.raises(ValueError):
         make(spark, [], [("a", 0.5, 1), (" A", 0.5, 1)])
+
+
+def test_shares_are_as_planned_but_for_a_record(spark):
+    """Sizes that differ much, a source of more than a bucket's records, one with fewer tokens than its share, and one too small for a single record."""
+    rnd = random.Random(4)
+    rows = [(k, "a", rnd.choice([1, 5, 400])) for k in range(3000)] + [(5000 + k, " B ", 50) for k in range(40)] + [(9000, "c", 10_000)] + [(9500 + k, None, 100) for k in range(30)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("a", 0.7, 3), ("b", 0.299, 2), ("C", 0.001, 5)], "source string, weight double, max_repeats int")
+    plan = mixing.Mix(sized, "doc_id", "source", "tokens", targets, total=200_000)
+    uses = plan.uses().collect()
+    assert len({r["doc_id"] for r in uses}) == len(uses)
+    for r in plan.report().collect():
+        own = [u for u in uses if u["source"] == r["source"]]
+        used = sum(u["uses"] * u["size"] for u in own)
+        longest = max(size for _, s, size in rows if s and s.strip().lower() == r["source"].lower())
+        assert abs(used - r["given"]) <= longest and all(u["uses"] <= r["max_repeats"] for u in own)
