@@ -2,8 +2,8 @@
 
 A window of `least` characters occurs in another record or it doesn't; a record's shared characters are those in such windows.
 Windows meet by their rarest-hash gram: of all grams of `gram` characters in a window, the one of least hash is the same wherever the
-window stands. Runs of windows with the same least gram form a snippet. Snippets of one gram form a reference shard; where a shard holds
-different snippets, a suffix automaton of the shard is built and each of its snippets is streamed through it for matching statistics.
+window stands. Runs of windows with the same least gram form a snippet. Snippets of one gram form a reference shard, if they are of more than one
+record: a suffix automaton of the shard is built and each of its snippets is streamed through it for matching statistics.
 Equal snippets are one row before that, so copies, however many, cost one row a shard.
 
 The automata aren't broadcast: all of them together grow as the texts do, and every record would have to meet every one.
@@ -171,8 +171,8 @@ def _match(least: int):
 
 
 def shared_windows(docs: DataFrame, id_col: str, text_col: str, least: int = 200, gram: int | None = None, shard_rows: int = 256, shard_chars: int = 1 << 17) -> DataFrame:
-    """(id, start, stop, way): character ranges of each record that occur in another record, each `least` long or longer, and how they were found: EQUAL, all snippets of the
-    shard being equal, AUTOMATON or WINDOW, by the hash of each window in a shard too large for an automaton.
+    """(id, start, stop, way): character ranges of each record that occur in another record, each `least` long or longer, and how they were found: AUTOMATON, or
+    WINDOW, by the hash of each window in a shard too large for an automaton.
 
     Ranges of one record may overlap or touch. Nulls and texts shorter than `least` have none. A passage twice in one record isn't shared
     by that. Rows with a null id have no ranges; the same id in several rows counts as one record and as its rows' texts each.
@@ -183,19 +183,13 @@ def shared_windows(docs: DataFrame, id_col: str, text_col: str, least: int = 200
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & (F.length("text") >= least))
     kind = src.schema["id"].dataType.simpleString()
     runs = stages.write(src.mapInArrow(_find_runs(least, gram), f"key long, content long, id {kind}, first int, n int"), "runs")
-    keys = (
-        runs.groupBy("key")
-        .agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("content").alias("c0"), F.max("content").alias("c1"))
-        .where("lo <> hi")
-        .select("key", (F.col("c0") == F.col("c1")).alias("same"))
-    )
-    mine = stages.write(runs.join(keys, "key").select("key", "content", "id", "first", "n", "same"), "met")
+    keys = runs.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
+    mine = stages.write(runs.join(keys, "key").select("key", "content", "id", "first", "n"), "met")
     stages.drop(runs)
-    unequal = mine.where(~F.col("same"))
-    snippets = unequal.groupBy("key", "content").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("n").alias("n"))
+    snippets = mine.groupBy("key", "content").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("n").alias("n"))
     size = snippets.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.col("n") + least).alias("chars"))
     wide = size.select("key", ((F.col("m") > shard_rows) | (F.col("chars") > shard_chars)).alias("wide"))
-    places = unequal.groupBy("key", "content", "id").agg(F.min("first").alias("first"))
+    places = mine.groupBy("key", "content", "id").agg(F.min("first").alias("first"))
     asked = snippets.join(places.withColumnRenamed("id", "low"), ["key", "content", "low"]).join(wide, "key")
     asked = asked.groupBy(F.col("low").alias("id"), "wide").agg(F.collect_list(F.struct("key", "content", "low", "high", "first", "n")).alias("runs"))
     cut = stages.write(src.join(asked, "id").select("text", "runs", "wide"), "asked")
@@ -207,9 +201,7 @@ def shared_windows(docs: DataFrame, id_col: str, text_col: str, least: int = 200
     twice = windows.groupBy("window").agg(F.min("low").alias("lo"), F.max("high").alias("hi")).where("lo <> hi").select("window")
     single = windows.join(twice, "window").select("key", "content", F.col("at").alias("a"), (F.col("at") + 1).alias("b"))
     ranges = spans.withColumn("way", F.lit("AUTOMATON")).unionByName(single.withColumn("way", F.lit("WINDOW")))
-    found = mine.join(ranges, ["key", "content"]).select("id", (F.col("first") + F.col("a")).alias("start"), (F.col("first") + F.col("b") + least - 1).alias("stop"), "way")
-    equal = mine.where("same").select("id", F.col("first").alias("start"), (F.col("first") + F.col("n") + least - 1).alias("stop"), F.lit("EQUAL").alias("way"))
-    return found.unionByName(equal)
+    return mine.join(ranges, ["key", "content"]).select("id", (F.col("first") + F.col("a")).alias("start"), (F.col("first") + F.col("b") + least - 1).alias("stop"), "way")
 
 
 def shared_length(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 200, **how) -> DataFrame:
