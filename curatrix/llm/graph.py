@@ -32,8 +32,8 @@ def decompose(links: DataFrame, beta: float, seed: int, stages: Stages) -> tuple
     while True:
         news = offers.groupBy("node").agg(F.min("by").alias("by")).where(f"by < struct({start('node')} AS at, node AS center)")
         if changes:
-            known = stages.together(changes).groupBy("node").agg(F.min("by").alias("known"))
-            news = news.join(small(known, total), "node", "left").where("known IS NULL OR by < known").select("node", "by")
+            known = small(stages.together(changes).selectExpr("node AS seen", "by AS known"), total)
+            news = news.join(known, (F.col("node") == F.col("seen")) & (F.col("known") <= F.col("by")), "left_anti")
         fresh = stages.write(news, "reached")
         n = fresh.count()
         changes.append(fresh)
