@@ -42,15 +42,17 @@ def best_agreeing(left: int, right: int, distance: int, bits: int = 64) -> int:
 def print_pairs(df: DataFrame, print_: str, distance: int = 4, agreeing: int | None = None) -> DataFrame:
     """(p, q, hamming), p < q: distinct fingerprints that differ in 1 to `distance` bits. Equal ones are one row before they meet.
 
-    They meet by block terms, which grow longer as the fingerprints grow more, so chance meetings don't grow with their square.
+    They meet by block terms, which grow longer as the fingerprints grow more, so chance meetings don't grow with their square. The lists are merged, as
+    Spark takes them for no larger than the fingerprints, though they have 5 rows of each or more, and would broadcast them. Both sides are one shuffle.
     """
     each = Stages(df.sparkSession).write(df.where(F.col(print_).isNotNull()).select(F.col(print_).alias("p")).distinct(), "prints")
     if not agreeing:
         n = each.count()
         agreeing = best_agreeing(n, n, distance)
     listed = each.selectExpr("p", f"explode(array({', '.join(block_terms('p', distance, agreeing))})) AS term")
-    met = listed.join(listed.withColumnRenamed("p", "q"), "term").where((F.col("p") < F.col("q")) & (scalars.hamming(F.col("p"), F.col("q")) <= distance))
-    return met.select("p", "q").distinct().withColumn("hamming", scalars.hamming(F.col("p"), F.col("q")))
+    x, y = listed.hint("merge").alias("x"), listed.alias("y")
+    met = x.join(y, "term").select(F.col("x.p").alias("p"), F.col("y.p").alias("q")).where((F.col("p") < F.col("q")) & (scalars.hamming(F.col("p"), F.col("q")) <= distance))
+    return met.distinct().withColumn("hamming", scalars.hamming(F.col("p"), F.col("q")))
 
 
 def near_duplicates(df: DataFrame, key: str, print_: str, thumb: str | None = None, distance: int = 4, most_rmse: float = 0.08) -> DataFrame:

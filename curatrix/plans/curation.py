@@ -202,10 +202,15 @@ np AS (SELECT least(x.head, y.head) AS a, greatest(x.head, y.head) AS b, CAST(bi
   UNION SELECT head, image_id, 0 FROM images JOIN heads USING (dhash) WHERE head < image_id)"""
 
 
+def _prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, dhash) as the table has them, repeated rows too: inputs.images would shuffle whole rows to have each once."""
+    return table(spark, sf_dir, "source_images").select("image_id", "dhash")
+
+
 @registry.query(f"WITH {_I}, {_NEAR} SELECT a, b, hamming FROM np")
 def near_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images whose fingerprints differ in at most 4 bits, by the heads of classes with equal ones, and each image with its head."""
-    return near.near_duplicates(inputs.images(spark, sf_dir), "image_id", "dhash")
+    return near.near_duplicates(_prints(spark, sf_dir), "image_id", "dhash")
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:

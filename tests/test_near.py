@@ -39,6 +39,19 @@ def test_pairs_of_all_embeddings(spark, tmp_path):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_term_lists_are_not_broadcast(spark):
+    """They have several rows of each fingerprint, which Spark's estimate leaves out, so the driver would hold far more than the limit of broadcasts."""
+    rnd = random.Random(7)
+    rows = [(k, rnd.getrandbits(64) - 2**63) for k in range(2000)]
+    rows += [(2000 + k, d ^ (1 << k % 63)) for k, (_, d) in enumerate(rows[:200])]
+    found = near.print_pairs(spark.createDataFrame(rows, "id int, d bigint"), "d")
+    plan = found._jdf.queryExecution().toString()
+    assert "Generate explode" in plan and "Broadcast" not in plan.split("== Physical Plan ==")[1]
+    got = sorted(map(tuple, found.collect()))
+    assert got == sorted((*sorted((d, rows[k][1])), 1) for k, (_, d) in enumerate(rows[2000:]))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()  # nor once it has run
+
+
 def test_unjudged_as_brute_force(spark):
     rnd = random.Random(6)
     prints = [0, 0b11, 0b11111, 1 << 40, -1, -1 << 60]
